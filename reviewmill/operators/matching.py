@@ -49,11 +49,15 @@ def first_by_token(branches: DataFrame, token: str, name: str) -> DataFrame:
     )
 
 
-def _prefixes(text: str, longest: Column) -> Column:
-    """All prefixes up to ``longest`` characters."""
-    stop = F.least(F.length(text), longest)
-    cuts = F.sequence(F.lit(1), F.greatest(stop, F.lit(1)))
-    return F.explode(F.transform(cuts, lambda n: F.substring(F.col(text), F.lit(1), n)))
+def _with_prefixes(rows: DataFrame, text: str, name: str, longest: Column | None = None) -> DataFrame:
+    """One row per prefix of ``text``, up to ``longest`` characters."""
+    stop = F.length(text) if longest is None else F.least(F.length(text), longest)
+    return (
+        rows.withColumn("_stop", F.greatest(stop, F.lit(1)))
+        .withColumn("_cut", F.explode(F.sequence(F.lit(1), "_stop")))
+        .withColumn(name, F.substring(F.col(text), F.lit(1), F.col("_cut")))
+        .drop("_stop", "_cut")
+    )
 
 
 def _longest(candidates: DataFrame) -> Column:
@@ -69,7 +73,7 @@ def title_branches(titles: DataFrame, branches: DataFrame, normalizer: Normalize
     produces one row. Titles on a block-list (few) keep their pairs, less the blocked ones.
     """
     candidates = branch_candidates(branches, normalizer)
-    heads = candidates.select("branch_ord", "candidate", _prefixes("candidate", F.length("candidate")).alias("head"))
+    heads = _with_prefixes(candidates, "candidate", "head").select("branch_ord", "head")
     longest = _longest(candidates)
 
     def matches(some: DataFrame, whole: DataFrame, cut: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def title_branches(titles: DataFrame, branches: DataFrame, normalizer: Normalize
             "title", F.lit(1).alias("tier"), "branch_ord"
         )
         title_longer = (
-            some.select("title", _prefixes("title", longest).alias("candidate"))
+            _with_prefixes(some.select("title"), "title", "candidate", longest)
             .join(whole, "candidate")
             .select("title", F.lit(2).alias("tier"), "branch_ord")
         )
@@ -93,7 +97,7 @@ def title_branches(titles: DataFrame, branches: DataFrame, normalizer: Normalize
         listed = blocks.select("title").distinct()
         free = titles.join(listed, "title", "left_anti")
         held = titles.join(listed, "title", "left_semi")
-        pairs = matches(held, candidates, heads.select("branch_ord", "head"))
+        pairs = matches(held, candidates, heads)
         pairs = pairs.join(blocks, ["title", "branch_ord"], "left_anti")
         found = matches(free, first_whole, first_cut).unionByName(pairs)
     else:
@@ -177,7 +181,7 @@ def unique_location_match(branches: DataFrame, locations: DataFrame) -> DataFram
     )
     # Titles that start with a candidate, folded per prefix; blocked titles are taken off again.
     by_prefix = (
-        titles.select("n", "s", _prefixes("title", _longest(candidates)).alias("candidate"))
+        _with_prefixes(titles, "title", "candidate", _longest(candidates))
         .groupBy("candidate")
         .agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     )
@@ -199,7 +203,8 @@ def unique_location_match(branches: DataFrame, locations: DataFrame) -> DataFram
     )
     # Titles that a candidate starts with.
     shorter = (
-        candidates.select("branch_ord", _prefixes("candidate", F.length("candidate")).alias("title"))
+        _with_prefixes(candidates, "candidate", "title")
+        .select("branch_ord", "title")
         .distinct()
         .join(titles, "title")
         .join(blocks, ["branch_ord", "title"], "left_anti")

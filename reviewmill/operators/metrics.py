@@ -155,7 +155,6 @@ def reported_or_computed(branches: DataFrame, partials: DataFrame, published: bo
 def scorecard(branches: DataFrame, partials: DataFrame, published: bool = False) -> DataFrame:
     """All figures of a branch, one row per configured branch."""
     rows = reported_or_computed(branches, partials, published)
-    total = rows.agg(F.sum("currentReviewsCount")).scalar()
     rows = rows.withColumns(
         {f"{name}_rate": percentage(f"{name}_count", "tracked") for name in RATE_NAMES}
     ).withColumns(
@@ -165,15 +164,24 @@ def scorecard(branches: DataFrame, partials: DataFrame, published: bool = False)
             "prev30_rating": _mean("prev30"),
         }
     )
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "rating_delta_30": F.col("p30_rating") - F.col("prev30_rating"),
             "volume_delta_30": F.col("p30_count") - F.col("prev30_count"),
             "one_star_effect": one_star_impact("currentRating", "currentReviewsCount", "one_star_7_days"),
             "five_stars_for_lift": five_stars_for_lift("currentRating", "currentReviewsCount"),
-            "share_of_portfolio": percentage(F.col("currentReviewsCount"), total),
         }
     )
+    return portfolio_share(rows)
+
+
+def portfolio_share(cards: DataFrame) -> DataFrame:
+    """Share of each branch in all reviews.
+
+    The window runs over branch rows; a subquery for the total would read the reviews a second time.
+    """
+    total = F.sum("currentReviewsCount").over(Window.partitionBy())
+    return cards.withColumn("share_of_portfolio", percentage(F.col("currentReviewsCount"), total))
 
 
 def branch_scorecard(

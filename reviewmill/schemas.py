@@ -70,7 +70,7 @@ PAGED_REVIEW = _struct(
 )
 
 REVIEW_PAGE = _struct(
-    branch_id=_S, page_no=_I, totalReviewCount=_L, averageRating=_D, nextPageToken=_S,
+    branch_id=_S, page_no=_L, totalReviewCount=_L, averageRating=_D, nextPageToken=_S,
     reviews=T.ArrayType(PAGED_REVIEW),
 )
 
