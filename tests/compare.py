@@ -11,6 +11,9 @@ import duckdb  # noqa: E402
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+TIMES = {}
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     for name in TABLES:
@@ -35,8 +38,10 @@ def rows_of(rows, names):
 
 def compare(spark, con, name, query, sql, sf_dir):
     """Empty text when both sides agree, else what differs."""
+    start = time.time()
     df = query(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    TIMES[name] = time.time() - start
     if sql is None:
         return "" if got else "no rows"
     cur = con.execute(sql)
@@ -70,4 +75,4 @@ if __name__ == "__main__":
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:700]}"
         mark = "ok " if not problem else "BAD"
-        print(f"{mark} {name} {time.time() - start:.1f}s {'' if name in sqls else '(no sql)'} {problem}", flush=True)
+        print(f"{mark} {name} {TIMES.get(name, 0):.1f}s of {time.time() - start:.1f}s {'' if name in sqls else '(no sql)'} {problem}", flush=True)
