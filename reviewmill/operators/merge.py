@@ -102,7 +102,7 @@ def merge_rows(rows: DataFrame, policy: str, lookup: str, block_rows: int = BLOC
 
     The result keeps ``ord``, the order of the row that opened the record.
     """
-    slots = assign_slots(components(rows), policy, lookup, block_rows)
+    slots = assign_slots(components(rows, lookup == INDEX), policy, lookup, block_rows)
     keys = ["reviewKey", "ord"]
     single = rows.join(slots.select(*keys), keys, "left_anti")
     shared = fold_records(rows.join(slots, keys), policy)

@@ -52,7 +52,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     a, b = rows_of(got, df.columns), rows_of(want, names)
     if a == b:
         return "" if a else "no rows on either side"
-    left, right = [x for x in a if x not in set(b)][:2], [x for x in b if x not in set(a)][:2]
+    left, right = sorted(set(a) - set(b))[:2], sorted(set(b) - set(a))[:2]
     return f"{len(a)} rows against {len(b)}\n   spark {left}\n   sql   {right}"
 
 
