@@ -99,5 +99,8 @@ def in_period(ts: Column | str, as_of: datetime | Column, offset_days: int, leng
 
 
 def in_current_month(ts: Column | str, as_of: datetime | Column, zone: str) -> Column:
-    same = F.trunc(zoned_date(ts, zone), "MM") == F.trunc(zoned_date(instant(as_of), zone), "MM")
-    return F.coalesce(same, F.lit(False))
+    """Same local month as the clock. A constant range, a day wider on both sides, is tested first."""
+    ts = col(ts)
+    month = F.trunc(zoned_date(instant(as_of), zone), "MM")
+    near = (ts >= F.date_sub(month, 2).cast("timestamp")) & (ts < F.date_add(F.add_months(month, 1), 2).cast("timestamp"))
+    return F.coalesce(near & (F.trunc(zoned_date(ts, zone), "MM") == month), F.lit(False))

@@ -14,10 +14,12 @@ SOURCE_MANUAL = "manual update"
 SOURCE_GOOGLE = "google"
 ANONYMOUS = "Anonymous reviewer"
 
-# Unicode white space plus the four separator controls that count as space in landed text.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
-_SPACE_RUN = rf"(?U){_SPACE}+"
+# Unicode white space plus the four separator controls that count as space in landed text.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def col(c: Column | str) -> Column:
@@ -25,8 +27,8 @@ def col(c: Column | str) -> Column:
 
 
 def ws_trim(c: Column | str) -> Column:
-    """Trim every kind of white space; Spark's own ``trim`` only knows the space character."""
-    return F.regexp_replace(col(c), _EDGE_SPACE, "")
+    """Trim every kind of white space; without a character list ``trim`` only knows the space."""
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def clean(c: Column | str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.text import clean, normalize_match_text, normalize_text, nz
 from reviewmill.operators.dedup import last_per_key
+from reviewmill.session import cut_lineage
 
 Normalizer = Callable[[Column | str], Column]
 
@@ -39,13 +40,13 @@ def blocked_titles(branches: DataFrame) -> DataFrame:
     )
 
 
-def first_by_token(branches: DataFrame, token: str, name: str) -> DataFrame:
+def first_by_token(branches: DataFrame, token: str) -> DataFrame:
     """First configured branch per non-blank identifier."""
     return (
-        branches.select(clean(token).alias(token), "branch_ord")
-        .where(F.col(token) != "")
-        .groupBy(token)
-        .agg(F.min("branch_ord").alias(name))
+        branches.select(F.lit(token).alias("kind"), clean(token).alias("token"), "branch_ord")
+        .where(F.col("token") != "")
+        .groupBy("kind", "token")
+        .agg(F.min("branch_ord").alias("branch_ord"))
     )
 
 
@@ -113,16 +114,25 @@ def match_branches(
 
     Block-lists only bar title matches, never identifier matches.
     """
-    places = first_by_token(branches, "placeId", "place_ord").withColumnRenamed("placeId", "m_place")
-    cids = first_by_token(branches, "cid", "cid_ord").withColumnRenamed("cid", "m_cid")
+    # The lookups are written out first: planned on their real size they are broadcast while they are
+    # small, and the items need no shuffle.
+    tokens = cut_lineage(first_by_token(branches, "placeId").unionByName(first_by_token(branches, "cid")))
+
+    def lookup(kind: str, key: str, name: str) -> DataFrame:
+        return tokens.where(F.col("kind") == kind).select(F.col("token").alias(key), F.col("branch_ord").alias(name))
+
     keyed = (
         items.withColumn("m_place", nz(clean("placeId")))
         .withColumn("m_cid", nz(clean("cid")))
         .withColumn("m_title", nz(normalizer("title")))
     )
-    titles = keyed.where("m_title is not null").select(F.col("m_title").alias("title")).distinct()
-    named = title_branches(titles, branches, normalizer, use_blocks).withColumnRenamed("title", "m_title")
-    joined = keyed.join(places, "m_place", "left").join(cids, "m_cid", "left").join(named, "m_title", "left")
+    titles = cut_lineage(keyed.where("m_title is not null").select(F.col("m_title").alias("title")).distinct())
+    named = cut_lineage(title_branches(titles, branches, normalizer, use_blocks))
+    joined = (
+        keyed.join(lookup("placeId", "m_place", "place_ord"), "m_place", "left")
+        .join(lookup("cid", "m_cid", "cid_ord"), "m_cid", "left")
+        .join(named.withColumnRenamed("title", "m_title"), "m_title", "left")
+    )
     tier = (
         F.when(F.col("place_ord").isNotNull(), 1)
         .when(F.col("cid_ord").isNotNull(), 2)

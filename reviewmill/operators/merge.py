@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions.text import first_nonempty, is_google, nz, review_key
 from reviewmill.operators.links import components
 from reviewmill.operators.slots import BLOCK_ROWS, INDEX, KEEP_FIRST, KEEP_NEWEST, SCAN, assign_slots
+from reviewmill.session import cut_lineage
 from reviewmill.schemas import OPTIONAL_FIELDS, RESPONSE_FIELDS, REVIEW_FIELDS
 from reviewmill.sources.documents import with_review_columns
 
@@ -36,8 +37,12 @@ def stamp_order(rows: DataFrame, phase: int, position: Column | None = None, tie
 
 
 def apply_removals(rows: DataFrame, removal_keys: DataFrame) -> DataFrame:
-    """Rows whose key was not withdrawn; applied to stored and new rows alike."""
-    return rows.join(removal_keys.select("reviewKey"), "reviewKey", "left_anti")
+    """Rows whose key was not withdrawn; applied to stored and new rows alike.
+
+    The keys are written out first, so a small list is broadcast and the rows are not shuffled for it.
+    """
+    keys = cut_lineage(removal_keys.select("reviewKey").distinct())
+    return rows.join(keys, "reviewKey", "left_anti")
 
 
 

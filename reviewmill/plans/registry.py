@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewmill.session import use_utc
+from reviewmill.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def keep(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            use_utc(spark)
+            prepare(spark)
             return function(spark, sf_dir)
 
         run.__name__ = name

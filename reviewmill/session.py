@@ -29,9 +29,14 @@ def local_session(cores: int | str = 8, app: str = "reviewmill", **conf: str) ->
     return spark
 
 
-def use_utc(spark: SparkSession) -> None:
-    """ISO strings are written and read as UTC instants, so the session zone has to be UTC."""
+def prepare(spark: SparkSession) -> None:
+    """Session settings the queries rely on.
+
+    ISO strings are written and read as UTC instants, so the session zone has to be UTC. The JVM never
+    compiles methods above 8000 bytes of bytecode; with this limit Spark splits such stages instead.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def shared_root(spark: SparkSession) -> str:
