@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.functions.text import clean, col, nz
@@ -104,3 +104,13 @@ def in_current_month(ts: Column | str, as_of: datetime | Column, zone: str) -> C
     month = F.trunc(zoned_date(instant(as_of), zone), "MM")
     near = (ts >= F.date_sub(month, 2).cast("timestamp")) & (ts < F.date_add(F.add_months(month, 1), 2).cast("timestamp"))
     return F.coalesce(near & (F.trunc(zoned_date(ts, zone), "MM") == month), F.lit(False))
+
+
+def prune_months(reviews: DataFrame, low: Column, high: Column | None = None) -> DataFrame:
+    """Limit a published table to the month folders an instant range can touch; other tables stay as they are."""
+    if "published_month" not in reviews.columns:
+        return reviews
+    months = F.col("published_month") >= F.date_format(low, "yyyy-MM")
+    if high is not None:
+        months = months & (F.col("published_month") <= F.date_format(high, "yyyy-MM"))
+    return reviews.where(months)

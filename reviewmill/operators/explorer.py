@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.functions.dates import instant, zoned_date
+from reviewmill.functions.dates import days_before, instant, prune_months, zoned_date
 from reviewmill.functions.text import nz
 
 ALL = "all"
@@ -63,5 +63,8 @@ def explore(
         rows = rows.where(F.col("branchId") == branch_id)
     if rating != ALL:
         rows = rows.where(F.col("rating") == float(rating))
+    if range_name in RANGES and range_name != ALL:
+        # Every range starts at most a month and a day before the clock.
+        rows = prune_months(rows, days_before(as_of, 32))
     rows = rows.where(date_range(range_name, as_of, zone)).where(keyword(search))
     return rows.orderBy(F.desc("published_ts"), "ord") if ordered else rows

@@ -7,7 +7,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.functions.dates import instant, month_key, month_start, short_date, week_start, zoned_date
+from reviewmill.functions.dates import (
+    instant,
+    month_key,
+    month_start,
+    prune_months,
+    short_date,
+    week_start,
+    zoned_date,
+)
 from reviewmill.functions.numbers import ratio_or_zero
 
 WEEK, MONTH = "week", "month"
@@ -69,7 +77,7 @@ def bucket_reviews(
     stop = F.date_add(last, 7) if kind == WEEK else F.add_months(last, 1)
     low = F.to_utc_timestamp(first.cast("timestamp"), zone)
     high = F.to_utc_timestamp(stop.cast("timestamp"), zone)
-    inside = reviews.where((F.col("published_ts") >= low) & (F.col("published_ts") < high))
+    inside = prune_months(reviews, low, high).where((F.col("published_ts") >= low) & (F.col("published_ts") < high))
     sums = (
         inside.withColumn("start", bucket_start("published_ts", zone, kind))
         .groupBy("branchId", "start")

@@ -72,3 +72,23 @@ def test_incremental_merge_equals_sequential(spark, seed, block_rows):
     stored, new = random_rows(rng, 30, 50, "b"), random_rows(rng, 25, 50, rng.choice(["b", "n"]))
     got = merge_incremental(frame(spark, stored, STORED), frame(spark, new, INCOMING), no_removals(spark), block_rows)
     assert values(r.asDict() for r in got.collect()) == values(merge_indexed(stored, new))
+
+
+def test_many_small_groups(spark):
+    """Other sources in a loose group stand in the index and may hide an earlier row."""
+    rng = random.Random(7)
+
+    def some(prefix, n):
+        rows = random_rows(rng, n, 10_000, prefix)
+        return [{**r, "reviewerName": f"r{rng.randrange(25)}", "id": f"{prefix}{i}"} for i, r in enumerate(rows)]
+
+    stored, new = some("b", 120), some("n", 60)
+    got = merge_incremental(frame(spark, stored, STORED), frame(spark, new, INCOMING), no_removals(spark))
+    assert values(r.asDict() for r in got.collect()) == values(merge_indexed(stored, new))
+
+
+def test_removals_win_over_stored_and_new_rows(spark):
+    gone = spark.createDataFrame([("a::1",)], "reviewKey string")
+    stored, new = [review(id="1", comment="x"), review(id="2", comment="y")], [review(id="1", comment="z")]
+    got = merge_incremental(frame(spark, stored, STORED), frame(spark, new, INCOMING), gone).collect()
+    assert [r["id"] for r in got] == ["2"]
