@@ -222,7 +222,8 @@ def run_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.select(
         "mode", "source", "timezone", F.col("reviewCount").alias("review_count"),
         F.col("manualReviewCount").alias("manual_count"), F.col("manualRemovalCount").alias("removal_count"),
-        F.col("manualBranchCounts")["n5"].alias("added_n5"), F.col("manualRemovedBranchCounts")["n5"].alias("removed_n5"),
+        F.coalesce(F.col("manualBranchCounts")["n5"], F.lit(0)).alias("added_n5"),
+        F.coalesce(F.col("manualRemovedBranchCounts")["n5"], F.lit(0)).alias("removed_n5"),
     )
 
 
@@ -269,14 +270,14 @@ def full_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "branch_enrich",
     with_reviews(
-        f"""select b.id as branch_id, r.n as total_reviews, r.mean as rating,
+        f"""select b.id as branch_id, coalesce(r.n, 0) as total_reviews, coalesce(r.mean, 0.0) as rating,
           coalesce(case when u.k % 6 = 0 then 'https://place.example/' || u.s_nationkey end,
             case when b.branch_ord % 2 = 1 then 'https://stored.example' end, nullif(b.maps_url, ''), b.profile_url) as place_url,
           coalesce(case when u.k % 3 = 0 then ' P' || u.s_nationkey end, 'S' || b.branch_ord) as place_id,
           case when b.branch_ord % 2 = 1 then 'stored' end as fid,
-          (u.s_nationkey || '0')::bigint as reported_count, 4.5::double as reported_rating
+          coalesce((u.s_nationkey || '0')::bigint, 0) as reported_count, case when u.k is null then 0.0 else 4.5 end::double as reported_rating
         from branch_dim b
-          join (select branch_id, count(*) as n, {round1(avg_pos())} as mean from reviews group by 1) r on r.branch_id = b.id
+          left join (select branch_id, count(*) as n, {round1(avg_pos())} as mean from reviews group by 1) r on r.branch_id = b.id
           left join (select * from dated qualify row_number() over (partition by branch_id order by item_ord desc) = 1) u on u.branch_id = b.id""",
         ITEMS_SQL,
         DATED_SQL,

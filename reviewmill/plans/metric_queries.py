@@ -74,10 +74,18 @@ partials as (
   from reviews group by branch_id
 )"""
 
+_FIGURES = [
+    "tracked", "mean", *[f"star_{s}" for s in metrics.STARS], "last_7_days", "last_30_days", "month_to_date",
+    *[f"{n}_count" for n in metrics.RATE_NAMES], *[f"{p}_{m}" for p in ("p7", "p30", "prev30") for m in ("count", "rating")],
+    "one_star_7_days",
+]
+_ZERO_FILLED = ", ".join(f"coalesce(p.{c}, 0) as {c}" for c in _FIGURES)
+
+# Branches without reviews stay, with zero figures.
 CARDS_SQL = f"""
 cards0 as (
-  select b.*, p.* exclude (branch_id), p.tracked as n, {round1('p.mean')} as r
-  from branch_dim b join partials p on p.branch_id = b.id
+  select b.*, {_ZERO_FILLED}, p.latest_ts, coalesce(p.tracked, 0) as n, {round1('coalesce(p.mean, 0.0)')} as r
+  from branch_dim b left join partials p on p.branch_id = b.id
 ),
 cards as (
   select *,
@@ -175,9 +183,9 @@ def avg_positive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "reported_or_computed",
     with_reviews(
         """select id as branch_id,
-          case when branch_ord % 4 > 1 then branch_ord * 10 + 5 else tracked end::bigint as total_reviews,
-          round(case when branch_ord % 3 = 1 and branch_ord > 0 then branch_ord / 10.0 else mean end, 6)::double as rating
-        from branch_dim join partials on branch_id = id""",
+          case when branch_ord % 4 > 1 then branch_ord * 10 + 5 else coalesce(tracked, 0) end::bigint as total_reviews,
+          round(case when branch_ord % 3 = 1 and branch_ord > 0 then branch_ord / 10.0 else coalesce(mean, 0.0) end, 6)::double as rating
+        from branch_dim left join partials on branch_id = id""",
         PARTIALS_SQL,
     ),
 )
@@ -250,7 +258,7 @@ def star_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         """select case when grouping(id) = 1 then 'All locations' else id end as label,
         cast(sum(star_1) as bigint) as star_1, cast(sum(star_2) as bigint) as star_2, cast(sum(star_3) as bigint) as star_3,
         cast(sum(star_4) as bigint) as star_4, cast(sum(star_5) as bigint) as star_5,
-        round(sum(r * n) / sum(n), 6) as rating, cast(sum(n) as bigint) as total
+        round(case when sum(n) > 0 then sum(r * n) / sum(n) else 0.0 end, 6) as rating, cast(sum(n) as bigint) as total
         from cards group by rollup (id)"""
     ),
 )
@@ -349,7 +357,7 @@ def period_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
         """select id as branch_id, response_count, comment_count, local_guide_count, low_star_count, positive_count,
         round(response_rate, 6) as response_rate, round(comment_rate, 6) as comment_rate,
         round(local_guide_rate, 6) as local_guide_rate, round(low_star_rate, 6) as low_star_rate,
-        round(positive_rate, 6) as positive_rate from cards"""
+        round(positive_rate, 6) as positive_rate from cards where tracked > 0"""
     ),
 )
 def engagement_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -659,8 +667,8 @@ def _decimal_sql(x: str) -> str:
         {_signed_sql('volume_delta_30', _int_sql('abs(volume_delta_30)'), '0')} as volume_change,
         {_rating_sql('p30_rating')} as rating_30, {_decimal_sql('rating_delta_30')} as rating_change,
         {_percent_sql('response_rate')} as response_rate,
-        strftime(latest_ts + interval 2 hour, '%d ') || case when month(latest_ts + interval 2 hour) = 9 then 'Sept'
-          else strftime(latest_ts + interval 2 hour, '%b') end || strftime(latest_ts + interval 2 hour, ' %Y') as latest
+        coalesce(strftime(latest_ts + interval 2 hour, '%d ') || case when month(latest_ts + interval 2 hour) = 9 then 'Sept'
+          else strftime(latest_ts + interval 2 hour, '%b') end || strftime(latest_ts + interval 2 hour, ' %Y'), 'No date') as latest
         from cards"""
     ),
 )

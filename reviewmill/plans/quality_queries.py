@@ -127,14 +127,13 @@ def check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "check_branch_consistency",
     with_reviews(
-        """select * from (
-          select id, case when branch_ord % 8 = 7 then 0 else n end as tracked, n + case when branch_ord % 5 = 0 then 1 else 0 end as declared,
-            unnest(list_filter([
-              case when branch_ord % 8 = 7 or branch_ord % 5 = 0 then 'count' end,
-              case when branch_ord % 8 <> 7 and branch_ord % 5 <> 0 and branch_ord % 7 = 0 then 'rating' end,
-              case when branch_ord % 8 = 7 then 'empty' end,
-              case when branch_ord % 8 <> 7 and branch_ord % 6 = 0 then 'name' end], lambda p: p is not null)) as problem
-          from rated)""",
+        """select id, tracked, declared, problem from (
+          select *, unnest(list_filter([case when tracked <> declared then 'count' end,
+            case when tracked > 0 and tracked = declared and branch_ord % 7 = 0 then 'rating' end,
+            case when tracked = 0 then 'empty' end,
+            case when tracked > 0 and branch_ord % 6 = 0 then 'name' end], lambda p: p is not null)) as problem
+          from (select *, case when branch_ord % 8 = 7 then 0 else n end as tracked,
+            n + case when branch_ord % 5 = 0 then 1 else 0 end as declared from rated))""",
         _RATED_SQL,
     ),
 )
