@@ -35,7 +35,7 @@ STRETCH, STRETCHES = 5_000, 1 << 14
 
 def _anchor_pattern() -> str:
     longest = max(map(len, ANCHORS))
-    return rf"( (?=\S{{1,{longest}}} )(?:{'|'.join(sorted(set(ANCHORS)))})(?= ))+"
+    return rf" (?=\S{{1,{longest}}} )({'|'.join(sorted(set(ANCHORS)))})(?= )"
 
 
 def normal(text: Column) -> Column:
@@ -47,17 +47,18 @@ def spots(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the sorted distinct signatures of column ``text`` as ``out``, an array of int."""
     word = lambda s, n: F.substring_index(F.substring_index(s, " ", n), " ", -1)
     short = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) < CHAIN
-    # Each anchor begins a line; a line is the anchor and the content words up to the next anchor.
+    # Each anchor begins a line, which holds the content words up to the next anchor; lines without any are dropped.
     df = df.withColumn("_normal", normal(F.col(text)))
-    df = df.withColumn("_lines", F.transform(F.split(F.regexp_replace("_normal", _anchor_pattern(), "\n$1"), "\n"), lambda s: F.trim(s)))
-    df = df.withColumn("_lines", F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))))
+    lines = F.split(F.regexp_replace("_normal", _anchor_pattern(), "\n$1"), "\n")
+    df = df.withColumn("_lines", F.transform(F.slice(lines, 2, F.length("_normal")), lambda s: F.trim(s)))
+    df = df.withColumn("_lines", F.filter("_lines", lambda s: s.contains(" ")))
     df = df.withColumn("_next", F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1))))
 
     def chain(line: Column, following: Column) -> Column:
         whole = F.substring_index(line, " ", CHAIN + 1)
         return F.when(~short(line), whole).when(following.contains(" "), F.concat(line, F.lit(" "), word(following, 2)))
 
-    chains = F.filter(F.zip_with("_lines", "_next", chain), lambda x: x.isNotNull() & x.contains(" "))
+    chains = F.filter(F.zip_with("_lines", "_next", chain), lambda x: x.isNotNull())
     df = df.withColumn("_chains", chains)
     chosen = F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(F.array("_normal"))
     df = df.withColumn(out, F.sort_array(F.array_distinct(F.transform(chosen, lambda x: F.hash(x)))))
