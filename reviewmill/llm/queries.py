@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewmill.llm import chat_targets, mixing, spotsigs
+from reviewmill.llm import capture_index, chat_targets, circulant_minhash, contamination, mixing, phrase_dedup, spotsigs
 from reviewmill.llm.shared import table
 from reviewmill.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index.archive_and_read_back(table(spark, sf_dir, "pages"))
+
+
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn as an example; the fixed conversation -7 has control strings in its texts."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -21,6 +29,10 @@ def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_targets.digests(turns.union(fixed))
 
 
+def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -29,12 +41,27 @@ def op9_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Query] = {
+    "op1_capture_index": op1_capture_index,
+    "op2_phrase_automata": op2_phrase_automata,
     "op4_prefix_targets": op4_prefix_targets,
+    "op6_containment_search": op6_containment_search,
     "op7_spotsigs": op7_spotsigs,
     "op9_splitting_tree": op9_splitting_tree,
+    "op10_circulant_minhash": op10_circulant_minhash,
+}
+ORACLES: dict[str, str] = {
+    "op1_capture_index": capture_index.SQL,
+    "op2_phrase_automata": phrase_dedup.SQL,
+    "op4_prefix_targets": chat_targets.SQL,
+    "op6_containment_search": contamination.SQL,
+    "op9_splitting_tree": mixing.SQL,
+    "op10_circulant_minhash": circulant_minhash.SQL,
 }
-ORACLES: dict[str, str] = {"op4_prefix_targets": chat_targets.SQL, "op9_splitting_tree": mixing.SQL}
 
 
 def _prepared(function: Query) -> Query:
