@@ -11,9 +11,9 @@ document with a smaller id; windows are judged on the input.
    its windows are compared with those of the anchor's other contexts. Windows in two documents are confirmed.
 3. Automata. Confirmed phrases are dealt to shards of about ``SHARD_PHRASES``, by the first document that has
    them, so that what is copied together lies together. A shard holds its phrases and confirmed windows.
-4. Streaming. A document needs the shards of its anchors; documents with the same first shard are neighbours.
-   A task compiles a shard's automaton, which finds every occurrence of its phrases, and all windows around an
-   occurrence are looked up among the confirmed ones.
+4. Streaming. A document goes to the shards of its anchors, where a task compiles each shard's automaton once.
+   It finds every occurrence of the shard's phrases, and all windows around an occurrence are looked up among
+   the confirmed ones. What a document's shards found is put together where the document is written.
 
 Windows are compared by 64-bit hashes, phrases by their text. A null text has no words; a null id counts as
 larger than any other; rows with the same id are one document; an empty table gives no rows; other columns are
@@ -26,7 +26,6 @@ import hashlib
 import pickle
 import uuid
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +38,8 @@ from reviewmill.llm.shared import file_system, folder, saved
 
 WINDOW, PHRASE = 50, 8
 SHARD_PHRASES = 25_000
-#: Compiled shards a task keeps.
-KEEP = 3
+#: Documents of a shard to a task.
+SHARD_DOCUMENTS = 4_000
 _LAST = (1 << 63) - 1
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -224,67 +223,58 @@ class Shard:
         return starts[(self.windows[found] == hashes[starts]) & (self.lows[found] < doc)]
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
-
-
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 _KEPT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def _row(doc: int, words: list[bytes], gone: int, kept: list[bytes], texts: bool) -> dict:
-    joined = b" ".join(kept)
-    return {
-        "doc_id": None if doc == _LAST else doc, "n_words": len(words), "n_removed": gone,
-        "kept_sha256": hashlib.sha256(joined).hexdigest(), "kept": joined.decode("utf-8", "surrogatepass") if texts else None,
-    }
-
+def streamed(docs: DataFrame, files: dict[int, str], root: str, window: int, phrase: int) -> DataFrame:
+    """``doc, starts`` of repeated windows, from documents with their ``shard``; rows come sorted by shard."""
+    schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("starts", pa.list_(pa.int64()))])
 
-def untouched(docs: DataFrame, texts: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, None
         for batch in batches:
-            rows = zip(batch.column("doc").to_pylist(), wordhash.encoded(batch.column("text")), strict=True)
-            yield pa.RecordBatch.from_pylist([_row(d, w := t.split(), 0, w, texts) for d, t in rows], schema=_KEPT_ARROW)
-
-    return docs.select("doc", "text").mapInArrow(work, _KEPT)
-
-
-def streamed(docs: DataFrame, files: dict[int, str], root: str, window: int, phrase: int, texts: bool) -> DataFrame:
-    """Documents with ``shards`` through the automata of these."""
+            out = []
+            rows = zip(*[batch.column(c).to_pylist() for c in ("doc", "digest", "shard")], wordhash.encoded(batch.column("text")), strict=True)
+            for doc, digest, wanted, text in rows:
+                if wanted != number:
+                    number, shard = wanted, None
+                    shard = Shard(root, files[number])
+                joined = b" ".join(text.split())
+                words = wordhash.Words([joined])
+                starts = np.arange(max(0, len(words.hash) - window + 1))
+                hashes = Ranges(words.hash).hash(starts, starts + window).view(np.int64)
+                found = shard.repeated(f" {joined.decode('latin-1')} ", words.start + 1, hashes, doc, window, phrase)
+                if len(found):
+                    out.append({"doc": doc, "digest": digest, "starts": found})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return docs.mapInArrow(work, "doc long, digest long, starts array<long>")
+
+
+def written(docs: DataFrame, window: int, texts: bool) -> DataFrame:
+    """The result from documents with ``found``, lists of starts, or null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, Shard] = OrderedDict()
-
-        def get(number: int) -> Shard:
-            if number not in held:
-                while len(held) >= KEEP:
-                    held.popitem(last=False)
-                held[number] = Shard(root, files[number])
-            held.move_to_end(number)
-            return held[number]
-
         for batch in batches:
             out = []
-            ids, shards = batch.column("doc").to_pylist(), batch.column("shards").to_pylist()
-            for doc, numbers, text in zip(ids, shards, wordhash.encoded(batch.column("text")), strict=True):
-                words = text.split()
-                joined = b" ".join(words)
-                hashed = wordhash.Words([joined])
-                starts = np.arange(max(0, len(words) - window + 1))
-                hashes = Ranges(hashed.hash).hash(starts, starts + window).view(np.int64)
-                line = f" {joined.decode('latin-1')} "
-                edges = np.zeros(len(words) + 1, dtype=np.int64)
-                for number in numbers:
-                    found = get(number).repeated(line, hashed.start + 1, hashes, doc, window, phrase)
-                    np.add.at(edges, found, 1)
-                    np.add.at(edges, found + window, -1)
-                gone = np.cumsum(edges)[:-1] > 0
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append(_row(doc, words, int(gone.sum()), kept, texts))
+            rows = zip(batch.column("doc").to_pylist(), batch.column("found").to_pylist(), wordhash.encoded(batch.column("text")), strict=True)
+            for doc, found, text in rows:
+                words = kept = text.split()
+                if found:
+                    edges = np.zeros(len(words) + 1, dtype=np.int64)
+                    starts = np.concatenate([np.array(x, dtype=np.int64) for x in found])
+                    np.add.at(edges, starts, 1)
+                    np.add.at(edges, starts + window, -1)
+                    kept = [w for w, gone in zip(words, (np.cumsum(edges)[:-1] > 0).tolist(), strict=True) if not gone]
+                joined = b" ".join(kept)
+                out.append({
+                    "doc_id": None if doc == _LAST else doc, "n_words": len(words), "n_removed": len(words) - len(kept),
+                    "kept_sha256": hashlib.sha256(joined).hexdigest(), "kept": joined.decode() if texts else None,
+                })
             yield pa.RecordBatch.from_pylist(out, schema=_KEPT_ARROW)
 
-    return docs.mapInArrow(work, _KEPT)
+    return docs.select("doc", "found", "text").mapInArrow(work, _KEPT)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, texts: bool = True) -> DataFrame:
@@ -304,17 +294,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     owners = owners.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
     said = found.select("phrase", "words").dropDuplicates(["phrase"])
     root = folder(spark, "phrase-shards")
-    written = write_shards(windows.join(owners.select("phrase", "shard"), "phrase").join(said, "phrase").select("shard", "words", "window", "low"), root)
+    shard_files = write_shards(windows.join(owners.select("phrase", "shard"), "phrase").join(said, "phrase").select("shard", "words", "window", "low"), root)
     # One short name per shard.
-    files = {r.shard: r.file for r in written.collect()}
-    routes = marks.join(owners, "phrase").where("doc > owner").groupBy("doc").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    routes = saved(routes)
-    routed = docs.join(routes, "doc")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Neighbours share their first shard; a shard with many documents has them in many tasks.
-    routed = routed.repartition(parts, F.col("shards")[0], F.pmod(F.xxhash64("doc"), F.lit(max(1, parts // shards)))).sortWithinPartitions(F.col("shards"))
-    rest = docs.join(routes.select("doc"), "doc", "left_anti")
-    return streamed(routed, files, root, window, phrase, texts).unionByName(untouched(rest, texts))
+    files = {r.shard: r.file for r in shard_files.collect()}
+    routes = saved(marks.join(owners, "phrase").where("doc > owner").select("doc", "shard").distinct())
+    salts = max(1, routes.count() // (shards * SHARD_DOCUMENTS))
+    # Rows with one id may have different texts.
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    routed = docs.join(routes, "doc").repartition(max(shards * salts, 1), "shard", F.pmod(F.xxhash64("doc"), F.lit(salts))).sortWithinPartitions("shard")
+    repeated = streamed(routed, files, root, window, phrase).groupBy("doc", "digest").agg(F.collect_list("starts").alias("found"))
+    return written(docs.join(repeated, ["doc", "digest"], "left"), window, texts)
 
 
 SQL = r"""
