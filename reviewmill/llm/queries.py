@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewmill.llm import capture_index, chat_targets, circulant_minhash, contamination, mixing, phrase_dedup, spotsigs
+from reviewmill.llm import capture_index, chat_targets, circulant_minhash, contamination, language_id, line_blocks, mixing, phrase_dedup, secret_crf, spotsigs
 from reviewmill.llm.shared import table
 from reviewmill.session import prepare
 
@@ -21,6 +21,10 @@ def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op3_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn as an example; the fixed conversation -7 has control strings in its texts."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -29,6 +33,10 @@ def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_targets.digests(turns.union(fixed))
 
 
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +45,10 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_crf.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -48,9 +60,12 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Query] = {
     "op1_capture_index": op1_capture_index,
     "op2_phrase_automata": op2_phrase_automata,
+    "op3_byte_network": op3_byte_network,
     "op4_prefix_targets": op4_prefix_targets,
+    "op5_line_blocks": op5_line_blocks,
     "op6_containment_search": op6_containment_search,
     "op7_spotsigs": op7_spotsigs,
+    "op8_secret_field": op8_secret_field,
     "op9_splitting_tree": op9_splitting_tree,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
