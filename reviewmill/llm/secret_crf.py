@@ -302,6 +302,7 @@ def trained(docs: DataFrame) -> Field:
     has = F.regexp_extract("text", pattern, 0) != ""
     rows = docs.where(F.col("text").isNotNull()).select("text", "doc_id", key.alias("key"), has.alias("has"))
     lines = made_up()
+    n_made_up = len(lines)
     for part in (rows.where("has"), rows.where("not has")):
         # Only the surroundings of the first match, or the beginning, are learned from.
         cut = F.substr("text", F.greatest(F.regexp_instr("text", F.lit(pattern)) - 300, F.lit(1)), F.lit(900))
@@ -313,18 +314,20 @@ def trained(docs: DataFrame) -> Field:
     tokens = Tokens(texts)
     spans = [(i, len(t[:a].encode()), len(t[:b].encode())) for i, (t, own) in enumerate(lines) for a, b in own]
     labels = labels_of(tokens, spans)
+    # A long token of letters and digits outside the base spans of a document may be a secret: it teaches nothing.
+    shape = tokens.features[:, 1] - _SIZES["length"]
+    unsure = (tokens.features[:, 0] >= 6) & (shape & 4 > 0) & (shape & 3 > 0) & (labels == _OUT) & (tokens.text >= n_made_up)
     first = np.searchsorted(tokens.text, np.arange(len(texts) + 1))
     features, wanted = [], []
     for i in range(len(texts)):
         a, b = first[i], first[i + 1]
-        for at in range(a, max(a + 1, b - _WINDOW + 1), _WINDOW):
-            if at + _WINDOW <= b:
+        # Windows side by side, and one that ends with the text; none begins within a secret.
+        for at in sorted({*range(a, b - _WINDOW + 1, _WINDOW), b - _WINDOW}):
+            if at >= a and labels[at] != _IN and not unsure[at : at + _WINDOW].any():
                 features.append(tokens.features[at : at + _WINDOW])
                 wanted.append(labels[at : at + _WINDOW])
-                if wanted[-1][0] == _IN:
-                    features.pop(), wanted.pop()
-        if b - a < _WINDOW and b > a:
-            pad = [a] * 0 + list(range(a, b)) + [b - 1] * (_WINDOW - (b - a))
+        if 0 < b - a < _WINDOW and not unsure[a:b].any():
+            pad = list(range(a, b)) + [b - 1] * (_WINDOW - (b - a))
             features.append(tokens.features[pad])
             wanted.append(np.where(np.arange(_WINDOW) < b - a, labels[pad], _OUT))
     field = Field()
