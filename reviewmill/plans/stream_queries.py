@@ -11,7 +11,7 @@ from reviewmill.plans.registry import query
 from reviewmill.session import scratch_path
 from reviewmill.sources.sinks import read_table
 from reviewmill.streaming.incremental import stream_incremental
-from reviewmill.streaming.weekly import latest_weeks, stream_weekly, weekly_counts
+from reviewmill.streaming.weekly import all_weeks, stream_weekly
 
 _EVENTS_SQL = """
 rows as (
@@ -49,11 +49,11 @@ def stream_incremental_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rows group by all""",
 )
 def stream_weekly_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live counts per local week, read back as the last state of every week."""
+    """Live counts per local week, added up over the micro-batches."""
     reviews = event_reviews(_event_stream(spark, sf_dir)).select("branchId", "rating", "published_ts")
     target = scratch_path(spark, "weekly")
-    stream_weekly(weekly_counts(reviews, zone_offset_hours=2), target, scratch_path(spark, "weekly-state")).awaitTermination()
-    weeks = latest_weeks(spark.read.parquet(target))
+    stream_weekly(reviews, target, scratch_path(spark, "weekly-state"), zone_offset_hours=2).awaitTermination()
+    weeks = all_weeks(spark.read.parquet(target))
     return weeks.select(
         F.date_format("week_start", "yyyy-MM-dd").alias("week"), F.col("branchId").alias("branch_id"), "n", "rating_sum"
     )

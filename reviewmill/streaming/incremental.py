@@ -7,6 +7,7 @@ batch never adds anything twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,17 @@ def merge_batch(
     root: str,
     removal_keys: DataFrame | None = None,
     check: Check | None = None,
+    stream: str = "",
 ) -> None:
-    """Merge canonical reviews that carry ``ord`` into the published table below ``root``."""
-    version = f"batch-{batch_id:012d}"
+    """Merge canonical reviews that carry ``ord`` into the published table below ``root``.
+
+    A batch is left out only if the published version is from the same ``stream`` and not older.
+    """
+    own = f"batch-{stream}-"
+    version = f"{own}{batch_id:012d}"
     published = current_version(spark, root)
-    if published and published.rsplit("/", 1)[-1] >= version:
+    last = published.rsplit("/", 1)[-1] if published else ""
+    if last.startswith(own) and last >= version:
         return
     if removal_keys is None:
         removal_keys = spark.createDataFrame([], "reviewKey string")
@@ -60,7 +67,9 @@ def stream_incremental(
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         # The batch is read by several actions of the merge.
         rows = cut_lineage(to_reviews(batch))
-        merge_batch(batch.sparkSession, rows, batch_id, root, removal_keys, check)
+        # Spark names a stream in its checkpoint; a fresh checkpoint is another stream.
+        named = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        merge_batch(batch.sparkSession, rows, batch_id, root, removal_keys, check, named.replace("-", ""))
 
     return (
         landed.writeStream.foreachBatch(one_batch)

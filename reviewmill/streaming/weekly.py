@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,17 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 MONDAY_OFFSET_DAYS = 4
 
 
-def weekly_counts(reviews: DataFrame, zone_offset_hours: int = 0, lateness: str = "7 days") -> DataFrame:
-    """Counts and rating sums per branch and Monday week.
-
-    Weeks follow the local calendar of a zone with a fixed offset. The watermark lets finished weeks
-    leave the state.
-    """
+def weekly_counts(reviews: DataFrame, zone_offset_hours: int = 0) -> DataFrame:
+    """Counts and rating sums per branch and Monday week of the local calendar of a zone with a fixed offset."""
     start = f"{MONDAY_OFFSET_DAYS * 24 - zone_offset_hours} hours"
     week = F.window("published_ts", "7 days", "7 days", start)
     return (
-        reviews.withWatermark("published_ts", lateness)
-        .groupBy(week.alias("week"), "branchId")
+        reviews.groupBy(week.alias("week"), "branchId")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("rating_sum"))
         .select(
             F.to_date(F.col("week.start") + F.make_dt_interval(F.lit(0), F.lit(zone_offset_hours))).alias("week_start"),
@@ -31,22 +26,18 @@ def weekly_counts(reviews: DataFrame, zone_offset_hours: int = 0, lateness: str
     )
 
 
-def stream_weekly(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append every change of a week to ``target``, marked with its batch."""
+def stream_weekly(reviews: DataFrame, target: str, checkpoint: str, zone_offset_hours: int = 0) -> StreamingQuery:
+    """Write each micro-batch's own counts to ``target``, marked with its batch.
+
+    No state is kept and no review is too late; a batch that runs again replaces its part.
+    """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        weekly_counts(batch, zone_offset_hours).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return reviews.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_weeks(changes: DataFrame) -> DataFrame:
-    """Last state of every week."""
-    newest = Window.partitionBy("week_start", "branchId").orderBy(F.desc("batch"))
-    return changes.withColumn("rank", F.row_number().over(newest)).where("rank = 1").drop("rank", "batch")
+def all_weeks(parts: DataFrame) -> DataFrame:
+    """The weeks' counts, added up over the batches."""
+    return parts.groupBy("week_start", "branchId").agg(F.sum("n").alias("n"), F.sum("rating_sum").alias("rating_sum"))
