@@ -26,22 +26,9 @@ ZONE = "Africa/Johannesburg"
 FETCHED_AT = "2001-07-01T12:00:00Z"
 
 
-# Tables that carry the work of a query.
-_FACTS = ("lineitem", "documents")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table.
-
-    A fact file too small to fill the cores is spread over them, because every per-row step up to the
-    first shuffle runs in the tasks of the scan. A table with enough splits is read as it is.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in _FACTS:
-        cores = spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:
-            return rows.repartition(cores)
-    return rows
+    """One test table, read as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _DIMS: dict[tuple[str, str], DataFrame] = {}
