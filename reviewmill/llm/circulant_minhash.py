@@ -7,9 +7,11 @@ more than 0.99998. Every candidate is confirmed on the full sets.
 
 Documents with equal sets are one class; only the smallest id of a class goes on. Candidates are tested in
 three rounds, each after the last one's components: every class with the smallest class of all its buckets,
-then with the smallest class of each bucket, then all pairs of a bucket that are still in different components.
-What is left out is in one component already, so no link between components is lost, and a group of near copies
-costs about one test per member rather than one per pair.
+then with the smallest class of each bucket, then, of buckets that still hold several components, the pairs of
+different components that meet on a rare enough shingle (``rare_meetings``, which loses no pair that is alike).
+What is left out is in one component already or can't be alike, so no link between components is lost, and a group
+of near copies costs about one test per member rather than one per pair, also where many of its members are too
+far from one another to be linked.
 
 Defined cases: a null text or a text without words has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; rows with equal ids are one node; a null id is linked with nothing; an empty
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm import wordhash
@@ -34,6 +36,8 @@ BANDS, ROWS = 60, 8
 PERCENT = 80
 #: Shingles worked on at a time.
 _BLOCK = 1 << 16
+#: Sizes of one class differ by less than this factor.
+_SIZE_STEP = 1.03
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -140,6 +144,45 @@ def _fits(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _need(a: Column | str, b: Column | str, percent: int) -> Column:
+    """Least number of common shingles of sets of ``a`` and ``b`` shingles that are alike enough."""
+    both = (F.col(a) if isinstance(a, str) else a) + (F.col(b) if isinstance(b, str) else b)
+    return F.ceil(percent * both / F.lit(100 + percent))
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(_SIZE_STEP)))
+
+
+def rare_meetings(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b`` of different components that can be alike enough; every such pair that is alike is among them.
+
+    ``members`` has ``id`` and component ``c``. Shingles are ordered by how many members have them, those of one
+    component only first. The first shingle in that order that two sets share bounds how many they share: none
+    before it counts. So it stands among the rarest of both, and pairs meet on it within a class of sizes. Members
+    that are not alike share only what all their group has, which stands late, and don't meet.
+    """
+    known = sets.join(members, sets["doc_id"] == members["id"]).select("id", "c", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("row"), "shingles")
+    each = known.select("id", "c", "n", "row", F.explode("shingles").alias("t"))
+    shared = saved(each.groupBy("t").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("t", "k"))
+    order = F.sort_array(F.collect_list(F.struct("k", "t")))
+    ranked = each.join(shared, "t").groupBy("id", "c", "n", "row").agg(order.alias("met"))
+    ranked = ranked.select("id", "c", "n", F.size("met").alias("m"), F.posexplode("met").alias("at", "met"))
+    least = F.ceil(percent * F.col("n") / F.lit(100))
+    ranked = ranked.select("id", "c", "n", (F.col("n") - F.col("m") + F.col("at")).alias("i"), F.col("met.t").alias("t"))
+    ranked = saved(ranked.where(F.col("i") <= F.col("n") - _need(least, "n", percent)))
+
+    small = ranked.where(F.col("i") <= F.col("n") - _need("n", "n", percent))
+    small = small.select("t", _size_class(F.col("n")).alias("size"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    large = ranked.withColumn("size", F.explode(F.sequence(_size_class(least), _size_class(F.col("n")))))
+    lowest = F.greatest(least, F.ceil(F.pow(F.lit(_SIZE_STEP), F.col("size")) - 1e-6))
+    large = large.where(F.col("i") <= F.col("n") - _need(lowest, "n", percent))
+    large = large.select("t", "size", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= _need("na", "nb", percent)
+    return _fits(small.join(large, ["t", "size"]).where(ordered & enough & (F.col("ca") != F.col("cb"))), percent)
+
+
 def near_duplicates(docs: DataFrame, k: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row."""
     marks = saved(signed(docs, k))
@@ -172,11 +215,8 @@ def near_duplicates(docs: DataFrame, k: int = 2) -> DataFrame:
 
     known = placed(buckets, groups, "id", "c")
     mixed = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
-    open_ = saved(known.join(mixed, "band").select("band", "leader", "id", "n", "c"))
-    x = open_.where("id <> leader").select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = open_.where("id <> leader").select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    three = _fits(x.join(y, "band").where("a < b and ca <> cb"))
-    links = saved(links.union(confirmed(three, sets)))
+    open_ = saved(known.join(mixed, "band").select("id", "c").distinct())
+    links = saved(links.union(confirmed(rare_meetings(open_, sets), sets)))
     groups = grouped(links)
 
     by_class = classes.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_id", F.coalesce("component", "class_id").alias("component"))

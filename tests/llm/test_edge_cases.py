@@ -92,6 +92,27 @@ def test_minhash_against_brute_force(spark, docs):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_rare_meetings_lose_no_alike_pair(spark):
+    """A group of copies edited more and less, each its own component or one of a few; repeated ids, tiny sets."""
+    rng = random.Random(5)
+    base = list(range(120))
+    rows = []
+    for i in range(150):
+        left = set(rng.sample(base, 120 - rng.randrange(30)))
+        rows.append((i, sorted(left | {rng.randrange(1000, 1060) for _ in range(rng.randrange(25))})))
+    rows += [(200, [1]), (201, [1]), (202, [2, 3]), (203, [2, 3]), (3, [1])]
+    sets = spark.createDataFrame(rows, "doc_id long, shingles array<long>")
+    of = {i: i % 40 if i < 150 else i for i, _ in rows}
+    members = spark.createDataFrame(list(of.items()), "id long, c long")
+    got = set(_tuples(circulant_minhash.rare_meetings(members, sets), "a", "b"))
+    alike = set()
+    for i, x in rows:
+        for j, y in rows:
+            if of[i] != of[j] and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)):
+                alike.add((min(i, j), max(i, j)))
+    assert alike and alike <= got
+
+
 def test_containment(spark, docs, texts):
     long = _words(2, 4000).split()
     items = [(1, " ".join(long[100:140])), (2, None), (3, ""), (4, "One!"), (5, _words(77, 30)), (6, " ".join(long[200:230] + _words(78, 30).split()))]
