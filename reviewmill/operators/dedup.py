@@ -18,6 +18,12 @@ def last_per_key(reviews: DataFrame, key: str = "reviewKey", order: str = "ord")
     return reviews.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def first_per_key(reviews: DataFrame, key: str = "reviewKey", order: str = "ord") -> DataFrame:
+    """First row of each key; see ``last_per_key``."""
+    oldest = Window.partitionBy(key).orderBy(F.col(order))
+    return reviews.withColumn("_n", F.row_number().over(oldest)).where("_n = 1").drop("_n")
+
+
 def duplicate_keys(reviews: DataFrame, key: str = "reviewKey") -> DataFrame:
     return reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

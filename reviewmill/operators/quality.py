@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions.numbers import avg_positive, first_number, round_half_up_1, to_int
 from reviewmill.functions.text import clean
 from reviewmill.operators.branches import unknown_branch_reviews
-from reviewmill.operators.dedup import duplicate_keys, exact_signature_dups
+from reviewmill.operators.dedup import duplicate_keys, exact_signature_dups, first_per_key
 from reviewmill.operators.metrics import missing_branches
 
 SHOWN = 10
@@ -102,17 +102,21 @@ def check_dataset(meta: DataFrame, branches: DataFrame, reviews: DataFrame) -> D
     return empty.unionByName(repeated).unionByName(unknown).unionByName(twice)
 
 
-def branch_consistency(branches: DataFrame, reviews: DataFrame, mode: str, sampled: bool = False) -> DataFrame:
+def branch_consistency(branches: DataFrame, reviews: DataFrame, mode: str, sampled: bool = False, order: str | None = None) -> DataFrame:
     """Per branch: count, rating, coverage and name problems, one row each.
 
-    Rows of a repeated key count once, as the first of them would.
+    With ``order``, the column that holds the place of a row, only the first row of a repeated key counts.
+    Without it keys have to be unique.
     """
+    if order is not None:
+        reviews = first_per_key(reviews, order=order)
     published = mode.strip().lower() in ("live", "manual")
     strict = published and not sampled
     stats = reviews.groupBy("branchId").agg(
         F.count(F.lit(1)).alias("n"),
         round_half_up_1(avg_positive("rating")).alias("mean"),
-        F.collect_set(clean("branchName")).alias("names"),
+        F.min(clean("branchName")).alias("low_name"),
+        F.max(clean("branchName")).alias("high_name"),
     )
     rows = branches.join(stats, branches["id"] == stats["branchId"], "left")
     tracked = F.coalesce("n", F.lit(0))
@@ -125,7 +129,7 @@ def branch_consistency(branches: DataFrame, reviews: DataFrame, mode: str, sampl
             F.when(wrong_count, F.lit("count")),
             F.when((tracked > 0) & (declared == tracked) & (rating != mean), F.lit("rating")),
             F.when(F.lit(published) & (tracked == 0), F.lit("empty")),
-            F.when(F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda x: x != clean("name")), F.lit("name")),
+            F.when((F.col("low_name") != clean("name")) | (F.col("high_name") != clean("name")), F.lit("name")),
         )
     )
     return rows.select("id", tracked.alias("tracked"), declared.alias("declared"), F.explode(problems).alias("problem"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.operators import branches as dim
 from reviewmill.operators import quality
-from reviewmill.operators.dedup import last_per_key
+from reviewmill.operators.dedup import first_per_key, last_per_key
 from reviewmill.plans.binding import FETCHED_AT, branch_dim, review_rows, table
 from reviewmill.plans.cleaning_queries import _typed_additions
 from reviewmill.plans.merge_queries import _REMOVED, _removals
@@ -107,6 +107,16 @@ rated as (
 )"""
 
 
+# The check passes over every later row of a key it has seen; rows come newest first.
+_RATED_ONCE_SQL = f"""
+once as (
+  select * from reviews qualify row_number() over (partition by review_key order by ts desc, tie) = 1),
+rated_once as (
+  select b.*, count(r.id) as n, {round1(avg_pos('r.rating'))} as mean from branch_dim b left join once r on r.branch_id = b.id
+  group by all
+)"""
+
+
 @query(
     "check_totals",
     with_reviews(
@@ -133,15 +143,15 @@ def check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
             case when tracked = 0 then 'empty' end,
             case when tracked > 0 and branch_ord % 6 = 0 then 'name' end], lambda p: p is not null)) as problem
           from (select *, case when branch_ord % 8 = 7 then 0 else n end as tracked,
-            n + case when branch_ord % 5 = 0 then 1 else 0 end as declared from rated))""",
-        _RATED_SQL,
+            n + case when branch_ord % 5 = 0 then 1 else 0 end as declared from rated_once))""",
+        _RATED_ONCE_SQL,
     ),
 )
 def check_branch_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches with a wrong count, a wrong rating, another name or no reviews at all."""
-    reviews = review_rows(spark, sf_dir, "rating", "branchName")
+    reviews = review_rows(spark, sf_dir, "reviewKey", "rating", "branchName", "published_ts", "ord")
     order = F.col("branch_ord")
-    branches = dim.branch_rating(reviews, branch_dim(spark, sf_dir)).withColumns(
+    branches = dim.branch_rating(first_per_key(reviews), branch_dim(spark, sf_dir)).withColumns(
         {
             "currentReviewsCount": F.col("computedCount") + F.when(order % 5 == 0, 1).otherwise(0),
             "currentRating": F.col("computedRating") + F.when(order % 7 == 0, 0.3).otherwise(0.0),
@@ -150,7 +160,7 @@ def check_branch_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     empty = branch_dim(spark, sf_dir).where("branch_ord % 8 = 7").select(F.col("id").alias("branchId"))
     held = reviews.join(empty, "branchId", "left_anti")
-    rows = quality.branch_consistency(branches, held, "live")
+    rows = quality.branch_consistency(branches, held, "live", order="ord")
     return rows.select("id", "tracked", F.col("declared").cast("bigint").alias("declared"), "problem")
 
 
