@@ -11,9 +11,13 @@ document with a smaller id; windows are judged on the input.
    its windows are compared with those of the anchor's other contexts. Windows in two documents are confirmed.
 3. Automata. Confirmed phrases are dealt to shards of about ``SHARD_PHRASES``, by the first document that has
    them, so that what is copied together lies together. A shard holds its phrases and confirmed windows.
-4. Streaming. A document goes to the shards of its anchors, where a task compiles each shard's automaton once.
-   It finds every occurrence of the shard's phrases, and all windows around an occurrence are looked up among
-   the confirmed ones. What a document's shards found is put together where the document is written.
+4. Streaming. Every document that has a confirmed phrase is read again, and its stretches of windows with a
+   shard's phrases go to that shard, where a task compiles the automaton once. It finds every occurrence of the
+   shard's phrases, and all windows around an occurrence are looked up among the confirmed ones. The rest of a
+   document has no window with a confirmed anchor. What a document's shards found is put together where the
+   document is written.
+
+Whole texts are moved once, into buckets by document; what is joined to them later moves instead.
 
 Windows are compared by 64-bit hashes, phrases by their text. A null text has no words; a null id counts as
 larger than any other; rows with the same id are one document; an empty table gives no rows; other columns are
@@ -34,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm import wordhash
-from reviewmill.llm.shared import file_system, folder, saved
+from reviewmill.llm.shared import bucketed, file_system, folder, saved
 
 WINDOW, PHRASE = 50, 8
 SHARD_PHRASES = 25_000
-#: Documents of a shard to a task.
-SHARD_DOCUMENTS = 4_000
+#: Anchor occurrences of a shard to a task.
+SHARD_OCCURRENCES = 50_000
 _LAST = (1 << 63) - 1
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -124,7 +128,7 @@ def anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
             for begin, found in _batches(batch, window, phrase):
                 yield pa.RecordBatch.from_arrays([_signed(found.phrase), _signed(found.context), pa.array(ids[begin + found.text])], schema=schema)
 
-    return docs.mapInArrow(work, "phrase long, context long, doc long").distinct()
+    return docs.mapInArrow(work, "phrase long, context long, doc long")
 
 
 def passages(docs: DataFrame, wanted: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -227,16 +231,52 @@ _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept str
 _KEPT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def streamed(docs: DataFrame, files: dict[int, str], root: str, window: int, phrase: int) -> DataFrame:
-    """``doc, starts`` of repeated windows, from documents with their ``shard``; rows come sorted by shard."""
+def stretches(docs: DataFrame, parts: dict[int, int], window: int, phrase: int) -> DataFrame:
+    """``shard, part, doc, digest, begin, text`` from documents with their ``phrases`` and those' ``shards``.
+
+    ``text`` has the words from ``begin`` on that windows with the shard's phrases cover, ``part`` is one of the
+    shard's ``parts``.
+    """
+    schema = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("doc", pa.int64()), ("digest", pa.int64()), ("begin", pa.int64()), ("text", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests, phrases, shards = (batch.column(c).to_pylist() for c in ("doc", "digest", "phrases", "shards"))
+            for first, found in _batches(batch, window, phrase):
+                words, out, given, ranges = found.words, [], {}, {}
+                rows = zip(*[x.tolist() for x in (found.text, found.phrase.view(np.int64), found.low, found.high + window)], strict=True)
+                for text, name, low, high in rows:
+                    if text not in given:
+                        given[text] = dict(zip(phrases[first + text], shards[first + text], strict=True))
+                    shard = given[text].get(name)
+                    if shard is None:
+                        continue
+                    own = ranges.setdefault((text, shard), [])
+                    if own and low <= own[-1][1]:
+                        own[-1][1] = max(own[-1][1], high)
+                    else:
+                        own.append([low, high])
+                for (text, shard), own in ranges.items():
+                    doc, digest = ids[first + text], digests[first + text]
+                    part = digest % parts[shard]
+                    for low, high in own:
+                        said = words.data[words.start[low] : words.end[high - 1]].tobytes()
+                        out.append({"shard": shard, "part": part, "doc": doc, "digest": digest, "begin": low - int(words.first[text]), "text": said})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return docs.mapInArrow(work, "shard long, part long, doc long, digest long, begin long, text binary")
+
+
+def streamed(texts: DataFrame, files: dict[int, str], root: str, window: int, phrase: int) -> DataFrame:
+    """``doc, digest, starts`` of repeated windows, from stretches; rows come sorted by shard."""
     schema = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("starts", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, shard = None, None
         for batch in batches:
             out = []
-            rows = zip(*[batch.column(c).to_pylist() for c in ("doc", "digest", "shard")], wordhash.encoded(batch.column("text")), strict=True)
-            for doc, digest, wanted, text in rows:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("doc", "digest", "shard", "begin", "text")], strict=True)
+            for doc, digest, wanted, begin, text in rows:
                 if wanted != number:
                     number, shard = wanted, None
                     shard = Shard(root, files[number])
@@ -246,24 +286,26 @@ def streamed(docs: DataFrame, files: dict[int, str], root: str, window: int, phr
                 hashes = Ranges(words.hash).hash(starts, starts + window).view(np.int64)
                 found = shard.repeated(f" {joined.decode('latin-1')} ", words.start + 1, hashes, doc, window, phrase)
                 if len(found):
-                    out.append({"doc": doc, "digest": digest, "starts": found})
+                    out.append({"doc": doc, "digest": digest, "starts": found + begin})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return docs.mapInArrow(work, "doc long, digest long, starts array<long>")
+    return texts.mapInArrow(work, "doc long, digest long, starts array<long>")
 
 
 def written(docs: DataFrame, window: int, texts: bool) -> DataFrame:
-    """The result from documents with ``found``, lists of starts, or null."""
+    """The result from documents with ``found``, digests and starts, or null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            rows = zip(batch.column("doc").to_pylist(), batch.column("found").to_pylist(), wordhash.encoded(batch.column("text")), strict=True)
-            for doc, found, text in rows:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("doc", "digest", "found")], wordhash.encoded(batch.column("text")), strict=True)
+            for doc, digest, found, text in rows:
                 words = kept = text.split()
-                if found:
+                # Rows with one id may have different texts.
+                own = [np.array(x["starts"], dtype=np.int64) for x in found or [] if x["digest"] == digest]
+                if own:
                     edges = np.zeros(len(words) + 1, dtype=np.int64)
-                    starts = np.concatenate([np.array(x, dtype=np.int64) for x in found])
+                    starts = np.unique(np.concatenate(own))
                     np.add.at(edges, starts, 1)
                     np.add.at(edges, starts + window, -1)
                     kept = [w for w, gone in zip(words, (np.cumsum(edges)[:-1] > 0).tolist(), strict=True) if not gone]
@@ -274,13 +316,14 @@ def written(docs: DataFrame, window: int, texts: bool) -> DataFrame:
                 })
             yield pa.RecordBatch.from_pylist(out, schema=_KEPT_ARROW)
 
-    return docs.select("doc", "found", "text").mapInArrow(work, _KEPT)
+    return docs.select("doc", "digest", "found", "text").mapInArrow(work, _KEPT)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, texts: bool = True) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` for every row; ``kept`` is null without ``texts``."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text", F.xxhash64("text").alias("digest"))
+    docs = bucketed(docs, "doc")
     marks = saved(anchors(docs, window, phrase))
     contexts = saved(marks.groupBy("phrase", "context").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
     shared = contexts.groupBy("phrase").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("phrase")
@@ -295,15 +338,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     said = found.select("phrase", "words").dropDuplicates(["phrase"])
     root = folder(spark, "phrase-shards")
     shard_files = write_shards(windows.join(owners.select("phrase", "shard"), "phrase").join(said, "phrase").select("shard", "words", "window", "low"), root)
-    # One short name per shard.
+    routes = saved(marks.join(owners, "phrase").where("doc > owner").select("doc", "phrase", "shard"))
+    # One short name and one number per shard.
     files = {r.shard: r.file for r in shard_files.collect()}
-    routes = saved(marks.join(owners, "phrase").where("doc > owner").select("doc", "shard").distinct())
-    salts = max(1, routes.count() // (shards * SHARD_DOCUMENTS))
-    # Rows with one id may have different texts.
-    docs = docs.withColumn("digest", F.xxhash64("text"))
-    routed = docs.join(routes, "doc").repartition(max(shards * salts, 1), "shard", F.pmod(F.xxhash64("doc"), F.lit(salts))).sortWithinPartitions("shard")
-    repeated = streamed(routed, files, root, window, phrase).groupBy("doc", "digest").agg(F.collect_list("starts").alias("found"))
-    return written(docs.join(repeated, ["doc", "digest"], "left"), window, texts)
+    parts = {r.shard: -(-r["count"] // SHARD_OCCURRENCES) for r in routes.groupBy("shard").count().collect()}
+    routes = routes.groupBy("doc").agg(F.collect_list(F.struct("phrase", "shard")).alias("way"))
+    routed = docs.join(routes.select("doc", F.col("way.phrase").alias("phrases"), F.col("way.shard").alias("shards")), "doc")
+    cut = stretches(routed, parts, window, phrase).repartition(max(1, sum(parts.values())), "shard", "part").sortWithinPartitions("shard")
+    repeated = streamed(cut, files, root, window, phrase).groupBy("doc").agg(F.collect_list(F.struct("digest", "starts")).alias("found"))
+    return written(docs.join(repeated, "doc", "left"), window, texts)
 
 
 SQL = r"""

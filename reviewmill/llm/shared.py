@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def saved(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once in buckets of ``key``; later joins on it move only what is joined to it."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
+    writer.option("path", folder(spark, "bucketed")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return scratch_path(spark, name)
