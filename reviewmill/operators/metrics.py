@@ -256,13 +256,11 @@ def leaderboard(cards: DataFrame) -> DataFrame:
 def latest_reviews(reviews: DataFrame) -> DataFrame:
     """Newest review per branch; among equal instants the first in stored order.
 
-    The newest instant is a plain hash aggregation; only rows at that instant are looked at in full.
+    Reviews are read once; every task keeps one row per branch before the shuffle.
     """
-    newest = reviews.groupBy("branchId").agg(F.max("published_ts").alias("published_ts"))
-    tied = reviews.join(newest, ["branchId", "published_ts"], "left_semi")
-    columns = [c for c in reviews.columns if c != "branchId"]
-    best = tied.groupBy("branchId").agg(F.min_by(F.struct(*columns), "ord").alias("r"))
-    return best.select("branchId", "r.*")
+    order = Window.partitionBy("branchId").orderBy(F.desc("published_ts"), F.asc_nulls_last("ord"))
+    known = reviews.where("branchId is not null and published_ts is not null")
+    return known.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
 def branch_counts(rows: DataFrame) -> DataFrame:

@@ -139,6 +139,12 @@ def _title():
     )
 
 
+def planned_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All branches, and each once more as a planned one that no review names yet."""
+    branches = branch_dim(spark, sf_dir)
+    return branches.unionByName(branches.withColumn("id", F.concat(F.lit("planned-"), "id")))
+
+
 def canonical_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All canonical fields plus key, instant and order."""
     names = [

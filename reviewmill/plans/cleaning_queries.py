@@ -140,9 +140,9 @@ def synthetic_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scan_dataset_doc",
     with_reviews(
-        """select b.branch_ord::bigint as branch_ord, b.id as branch_id, b.name, count(*) as n, sum(rating)::bigint as rating_sum,
+        """select b.branch_ord::bigint as branch_ord, b.id as branch_id, b.name, count(r.branch_id) as n, sum(rating)::bigint as rating_sum,
         max(published_at) as newest, count(*) filter (where response <> '') as answered
-        from branch_dim b join reviews r on r.branch_id = b.id group by all"""
+        from branch_dim b left join reviews r on r.branch_id = b.id group by all"""
     ),
 )
 def scan_dataset_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +163,9 @@ def scan_dataset_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("ownerResponseText") != "").alias("answered"),
     )
     branches = documents.document_branches(docs)
-    return branches.join(held, branches["id"] == held["branchId"]).select(
-        F.col("branch_ord").cast("bigint").alias("branch_ord"), F.col("id").alias("branch_id"), "name", "n", "rating_sum", "newest", "answered"
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "answered")]
+    return branches.join(held, branches["id"] == held["branchId"], "left").select(
+        F.col("branch_ord").cast("bigint").alias("branch_ord"), F.col("id").alias("branch_id"), "name", "rating_sum", "newest", *none
     )
 
 
@@ -548,15 +549,15 @@ def locations_per_account(spark: SparkSession, sf_dir: str) -> DataFrame:
         union all select id, null, 'unknown' from requested where id <> '' and id not in (select id from branch_dim)""",
         """requested as (
           select case when s_nationkey % 7 = 0 then '' when s_nationkey % 6 = 0 then 'x' || s_nationkey else 'n' || s_nationkey end as id,
-            max(s_suppkey) as pos from supplier where s_acctbal > 2000 group by s_nationkey)""",
+            max(s_suppkey) as pos from supplier group by s_nationkey)""",
     ),
 )
 def select_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Branches of well-off suppliers, in the order of their newest supplier; some requests are unknown."""
+    """Branches with suppliers, in the order of their newest supplier; some requests are unknown."""
     key = F.col("s_nationkey")
     text_key = key.cast("string")
     requested = (
-        table(spark, sf_dir, "supplier").where("s_acctbal > 2000").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("pos"))
+        table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("pos"))
     ).select(
         F.when(key % 7 == 0, "").when(key % 6 == 0, F.concat(F.lit("x"), text_key)).otherwise(F.concat(F.lit(" n"), text_key)).alias("id"),
         "pos",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.operators import branches as dim
 from reviewmill.operators import matching
-from reviewmill.plans.binding import branch_dim, canonical_reviews, raw_items, review_rows, table
+from reviewmill.plans.binding import branch_dim, canonical_reviews, planned_branches, raw_items, review_rows, table
 from reviewmill.plans.cleaning_queries import ITEMS_SQL, LOCATIONS_SQL, landed_locations
 from reviewmill.plans.oracle import match_norm, norm, with_branches, with_reviews
 from reviewmill.plans.registry import query
@@ -69,7 +69,7 @@ _TITLE_MATCH_SQL = f"""
 site_rows as (select distinct on (site) * from (
     select page_id, regexp_extract(url, '^https?://([^./]+)', 1) as site, {_PAGE_TITLE} as title from pages)
   order by site, page_id),
-sites as (select row_number() over (order by page_id) as branch_ord, title from site_rows where title is not null),
+sites as (select page_id as branch_ord, title from site_rows where title is not null),
 cands as (select branch_ord, {match_norm('title')} as cand from sites
   union select branch_ord, split_part({match_norm('title')}, ' ', 1) from sites),
 asked as (select distinct {match_norm(_PAGE_TITLE)} as nt from pages where {match_norm(_PAGE_TITLE)} <> ''),
@@ -94,11 +94,9 @@ def match_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first = pages.groupBy("site").agg(F.min("page_id").alias("page_id"))
     named = pages.join(first, ["site", "page_id"], "left_semi").where("title is not null")
-    from pyspark.sql import Window
-
     word = F.split(matching.normalize_match_text("title"), " ")[0]
     sites = named.select(
-        F.row_number().over(Window.orderBy("page_id")).alias("branch_ord"),
+        F.col("page_id").alias("branch_ord"),
         F.array(word).alias("aliases"),
         F.col("title").alias("name"),
         F.lit(None).cast("string").alias("shortName"),
@@ -225,15 +223,13 @@ def location_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "active_branches",
     with_reviews(
-        """select id as branch_id from branch_dim where branch_ord % 4 = 0
-        or id in (select branch_id from reviews where source = 'Manual update' and reviewer like 'Customer 9_9' and rating = 5)"""
+        """select id as branch_id from (select id, branch_ord from branch_dim union all select 'planned-' || id, branch_ord from branch_dim)
+        where branch_ord % 4 = 0 or id in (select branch_id from reviews where source = 'Manual update')"""
     ),
 )
 def active_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth branch is stored; others become active through an addition."""
-    branches = branch_dim(spark, sf_dir)
-    additions = review_rows(spark, sf_dir, "reviewSource", "reviewerName", "rating").where(
-        "reviewSource = 'Manual update' and reviewerName like 'Customer 9_9' and rating = 5"
-    )
+    """Every fourth branch is stored; others become active through an addition, planned ones don't."""
+    branches = planned_branches(spark, sf_dir)
+    additions = review_rows(spark, sf_dir, "reviewSource").where("reviewSource = 'Manual update'")
     active = dim.active_branches(branches, branches.where("branch_ord % 4 = 0"), additions)
     return active.select(F.col("id").alias("branch_id"))

@@ -212,18 +212,22 @@ def _manual_dataset(spark: SparkSession, sf_dir: str) -> jobs.Dataset:
         (select count(*) from merged) as review_count,
         (select count(*) from reviews where {_MANUAL_NEW}) as manual_count,
         (select count(distinct review_key) from reviews where {_REMOVED}) as removal_count,
-        (select count(*) from reviews where {_MANUAL_NEW} and branch_id = 'n5') as added_n5,
-        (select count(distinct review_key) from reviews where {_REMOVED} and branch_id = 'n5') as removed_n5""",
+        b.id as branch_id,
+        (select count(*) from reviews r where {_MANUAL_NEW} and r.branch_id = b.id) as added,
+        (select count(distinct review_key) from reviews r where {_REMOVED} and r.branch_id = b.id) as removed from branch_dim b""",
         MANUAL_SQL,
     ),
 )
 def run_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = _manual_dataset(spark, sf_dir).meta
+    """The counts of a run, and what every branch has in its maps."""
+    branches = branch_dim(spark, sf_dir).select(F.col("id").alias("branch_id"))
+    meta = branches.join(_manual_dataset(spark, sf_dir).meta)
     return meta.select(
+        "branch_id",
         "mode", "source", "timezone", F.col("reviewCount").alias("review_count"),
         F.col("manualReviewCount").alias("manual_count"), F.col("manualRemovalCount").alias("removal_count"),
-        F.coalesce(F.col("manualBranchCounts")["n5"], F.lit(0)).alias("added_n5"),
-        F.coalesce(F.col("manualRemovedBranchCounts")["n5"], F.lit(0)).alias("removed_n5"),
+        F.coalesce(F.col("manualBranchCounts")[F.col("branch_id")], F.lit(0)).alias("added"),
+        F.coalesce(F.col("manualRemovedBranchCounts")[F.col("branch_id")], F.lit(0)).alias("removed"),
     )
 
 
@@ -246,11 +250,11 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "full_sync",
     with_branches(
-        f"""select b.id as branch_id, case when t.total > 0 then t.total else l.n end as total_reviews,
-          case when t.rating > 0 then t.rating else l.mean end as rating, l.n as matched_reviews, l.newest
+        f"""select b.id as branch_id, case when t.total > 0 then t.total else coalesce(l.n, 0) end as total_reviews,
+          case when t.rating > 0 then t.rating else l.mean end as rating, coalesce(l.n, 0) as matched_reviews, l.newest
         from branch_dim b
-          join (select branch_id, count(*) as n, {round1(avg_pos('stars'))} as mean, max(created) as newest from last_paged group by 1) l on l.branch_id = b.id
-          join (select branch_id, arg_max(k % 50, page_no) filter (where k % 50 > 0) as total,
+          left join (select branch_id, count(*) as n, {round1(avg_pos('stars'))} as mean, max(created) as newest from last_paged group by 1) l on l.branch_id = b.id
+          left join (select branch_id, arg_max(k % 50, page_no) filter (where k % 50 > 0) as total,
               arg_max({round1('(k % 51) / 10.0')}, page_no) filter (where k % 51 > 0) as rating
             from page_rows group by branch_id) t on t.branch_id = b.id""",
         PAGES_SQL,
@@ -261,9 +265,9 @@ def full_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paged payloads replace the dataset: normalised, last row per key, reported totals kept."""
     dataset = jobs.build_full(branch_dim(spark, sf_dir), review_pages(spark, sf_dir), FETCHED_AT, False, None)
     held = dataset.reviews.groupBy("branchId").agg(F.count(F.lit(1)).alias("n"), F.max("publishedAt").alias("newest"))
-    return dataset.branches.join(held, dataset.branches["id"] == held["branchId"]).select(
+    return dataset.branches.join(held, dataset.branches["id"] == held["branchId"], "left").select(
         F.col("id").alias("branch_id"), F.col("currentReviewsCount").alias("total_reviews"),
-        F.col("currentRating").alias("rating"), F.col("n").alias("matched_reviews"), "newest",
+        F.col("currentRating").alias("rating"), F.coalesce("n", F.lit(0)).alias("matched_reviews"), "newest",
     )
 
 

@@ -21,7 +21,7 @@ from reviewmill.operators import metrics, periods
 from reviewmill.operators.explorer import RANGES, date_range, explore, keyword
 from reviewmill.operators.merge import newest_first
 from reviewmill.operators.ranking import attention_list, cap_newest_per_branch
-from reviewmill.plans.binding import AS_OF, ZONE, branch_dim, review_rows
+from reviewmill.plans.binding import AS_OF, ZONE, branch_dim, planned_branches, review_rows
 from reviewmill.plans.oracle import AS_OF as SQL_AS_OF
 from reviewmill.plans.oracle import avg_pos, pct, round1, with_reviews
 from reviewmill.plans.registry import query
@@ -161,16 +161,14 @@ def branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "missing_branches",
     with_reviews(
-        """select id as branch_id from branch_dim
-        where id not in (select branch_id from reviews where rating = 5 and source = 'Google' and reviewer like 'Customer 9_9')"""
+        """select id as branch_id from (select id from branch_dim union all select 'planned-' || id from branch_dim)
+        where id not in (select branch_id from reviews)"""
     ),
 )
 def missing_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Branches without a five-star google review by a small group of reviewers."""
-    some = review_rows(spark, sf_dir, "rating", "reviewSource", "reviewerName").where(
-        "rating = 5 and reviewSource = 'Google' and reviewerName like 'Customer 9_9'"
-    )
-    return metrics.missing_branches(branch_dim(spark, sf_dir), some).select(F.col("id").alias("branch_id"))
+    """Branches without any review, planned ones among them."""
+    missing = metrics.missing_branches(planned_branches(spark, sf_dir), review_rows(spark, sf_dir))
+    return missing.select(F.col("id").alias("branch_id"))
 
 
 @query("avg_positive", with_reviews(f"select branch_id, round({avg_pos()}, 6) as mean from reviews group by branch_id"))
@@ -509,11 +507,12 @@ def period_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spines that end at every branch's newest review."""
     reviews = review_rows(spark, sf_dir, "published_ts")
     clock = reviews.groupBy("branchId").agg(F.max("published_ts").alias("as_of"))
+    clocks = clock.select("as_of").distinct()
     spines = [
-        periods.period_spine(clock, ZONE, kind).withColumn("kind", F.lit(kind)) for kind in (periods.WEEK, periods.MONTH)
+        periods.period_spine(clocks, ZONE, kind).withColumn("kind", F.lit(kind)) for kind in (periods.WEEK, periods.MONTH)
     ]
     both = spines[0].unionByName(spines[1]).join(clock, "as_of")
-    return both.select(F.col("branchId").alias("branch_id"), "kind", *_big("pos"), "bucket", "label").distinct()
+    return both.select(F.col("branchId").alias("branch_id"), "kind", *_big("pos"), "bucket", "label")
 
 
 @query(
