@@ -4,8 +4,8 @@ Markup is stripped to lines, one per block of the page; text of scripts, styles
 menu, header, footer, sidebar, notice, advert, form or reader comment weighs nothing and is never kept. The
 lengths of the other lines, without link texts, are summed over windows of ``LINES`` lines. The text surges
 where these sums first reach ``SURGE`` of the largest and dives where they last do. The lines between are the
-main text; if they lie in an article or main element, its first and last lines are the surge and the dive, so
-that short paragraphs at its ends stay.
+main text. If the surge lies in an article or main element, it moves to that element's first line, and a dive in
+one to its last line, so that short paragraphs at the ends stay; no line between is dropped for lying outside.
 
 Defined cases: a null page is empty; a page without text has the empty text; unclosed and surplus tags are
 allowed; repeated rows and ids are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -121,11 +121,11 @@ def main_text(page: str | None) -> str:
         if not len(high):
             return ""
     surge, dive = int(high[0]), int(high[-1])
-    holders = {lines[i][2] for i in high} - {0}
-    if holders:
-        inside = [i for i, x in enumerate(lines) if x[2] in holders]
-        surge, dive = inside[0], inside[-1]
-        return "\n".join(t for t, _, h, apart in lines[surge : dive + 1] if not apart and h)
+    first, last = lines[surge][2], lines[dive][2]
+    if first:
+        surge = next(i for i, x in enumerate(lines) if x[2] == first)
+    if last:
+        dive = next(i for i in range(len(lines) - 1, -1, -1) if lines[i][2] == last)
     return "\n".join(t for t, _, _, apart in lines[surge : dive + 1] if not apart)
 
 

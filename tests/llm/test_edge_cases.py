@@ -227,6 +227,15 @@ def test_lines():
     assert [line_blocks.main_text(x) for x in (None, "", "<p>", "<nav>a</nav>", "<p>Short.")] == ["", "", "", "", "Short."]
 
 
+def test_lines_beside_an_article_teaser():
+    body = [f"Paragraph {i} of the body. " * 9 for i in range(6)]
+    teaser = "A card about something else that is long enough to be dense on its own. " * 2
+    held = "".join(f"<p>{x}" for x in body)
+    for page in (f"<div>{held}</div><article><p>{teaser}</article>", f"<article><p>{teaser}</article><div>{held}</div>"):
+        got = line_blocks.main_text(f"<body><nav><a>Home</a></nav>{page}<footer>x</footer>").split("\n")
+        assert [x for x in got if x != teaser.strip()] == [x.strip() for x in body]
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
