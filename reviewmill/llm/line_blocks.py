@@ -3,8 +3,9 @@
 Markup is stripped to lines, one per block of the page; text of scripts, styles and parts that markup names as
 menu, header, footer, sidebar, notice, advert, form or reader comment weighs nothing and is never kept. The
 lengths of the other lines, without link texts, are summed over windows of ``LINES`` lines. The text surges
-where these sums first reach ``SURGE`` of the largest and dives where they last do. The lines between are the
-main text. If the surge lies in an article or main element, it moves to that element's first line, and a dive in
+where these sums first reach ``SURGE`` characters and dives where they last do; on a page that never reaches
+them, at the first and last line that weighs anything. The lines between are the main text. Neighbouring lines
+of the same container that are mostly not links move the ends outwards. If the surge lies in an article or main element, it moves to that element's first line, and a dive in
 one to its last line, so that short paragraphs at the ends stay; no line between is dropped for lying outside.
 
 Defined cases: a null page is empty; a page without text has the empty text; unclosed and surplus tags are
@@ -16,13 +17,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LINES, SURGE = 3, 0.1
+LINES, SURGE = 3, 86
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -35,6 +37,8 @@ _APART = set(
 )
 _APART_TAGS = set("head nav footer aside form menu dialog select button textarea label fieldset".split())
 _HOLDERS = {"article", "main"}
+#: What lines are put in without leaving the container around it.
+_GROUPS = set("h1 h2 h3 h4 h5 h6 hgroup ul ol dl table thead tbody tfoot blockquote pre address figure figcaption center".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub "
     "sup time tt u var wbr br".split()
@@ -52,12 +56,22 @@ def _apart(tag: str, attributes: str, inside_text: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
-    """``(text, weight, holder, apart)`` per block; ``holder`` numbers article and main elements, 0 is outside."""
-    out: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, bool, int]] = []
+class Line(NamedTuple):
+    """A block's text; ``holder`` numbers article and main elements, ``container`` all that hold blocks; 0 is outside."""
+
+    text: str
+    weight: int
+    holder: int
+    container: int
+    apart: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    out: list[Line] = []
+    # Tag, apart, number of the holder and of the container, 0 for others.
+    stack: list[tuple[str, bool, int, int]] = []
     parts: list[str] = []
-    linked = holders = links = 0
+    linked = opened = links = 0
 
     def close() -> None:
         nonlocal linked
@@ -65,7 +79,8 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         if text:
             apart = any(x[1] for x in stack)
             holder = next((x[2] for x in reversed(stack) if x[2]), 0)
-            out.append((text, 0 if apart else max(0, len(text) - linked), holder, apart))
+            container = next((x[3] for x in reversed(stack) if x[3]), 0)
+            out.append(Line(text, 0 if apart else max(0, len(text) - linked), holder, container, apart))
         parts.clear()
         linked = 0
 
@@ -93,40 +108,49 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
                     pass
         elif tag not in _EMPTY and tag not in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
             inside = any(x[2] for x in stack)
-            holder = 0
-            if tag in _HOLDERS:
-                holders += 1
-                holder = holders
-            stack.append((tag, _apart(tag, found[4] or "", inside), holder))
+            opened += 1
+            stack.append((tag, _apart(tag, found[4] or "", inside), opened * (tag in _HOLDERS), opened * (tag not in _GROUPS)))
         elif tag in ("p", "li", "td", "dd") and _apart(tag, found[4] or "", False):
-            stack.append((tag, True, 0))
+            stack.append((tag, True, 0, 0))
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
+def _extended(lines: list[Line], at: int, step: int) -> int:
+    """The last of the lines from ``at`` on, apart ones aside, that share its container and are mostly not links."""
+    container, end = lines[at].container, at
+    while 0 <= (at := at + step) < len(lines):
+        if not lines[at].apart:
+            if lines[at].container != container or 2 * lines[at].weight <= len(lines[at].text):
+                break
+            end = at
+    return end
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    weights = np.array([w for _, w, _, _ in lines], dtype=np.int64)
+    weights = np.array([x.weight for x in lines], dtype=np.int64)
     if not len(weights):
         return ""
     sums = np.convolve(weights, np.ones(LINES, dtype=np.int64))
     # Window sums that begin and that end at each line.
     ahead, behind = sums[LINES - 1 :], sums[: len(weights)]
-    most = max(1.0, SURGE * float(sums.max()))
-    high = np.flatnonzero((weights > 0) & (np.maximum(ahead, behind) >= most))
+    high = np.flatnonzero((weights > 0) & (np.maximum(ahead, behind) >= SURGE))
+    if not len(high):
+        high = np.flatnonzero(weights)
     if not len(high):
-        high = np.flatnonzero([not apart for _, _, _, apart in lines])
-        if not len(high):
-            return ""
-    surge, dive = int(high[0]), int(high[-1])
-    first, last = lines[surge][2], lines[dive][2]
+        high = np.flatnonzero([not x.apart for x in lines])
+    if not len(high):
+        return ""
+    surge, dive = _extended(lines, int(high[0]), -1), _extended(lines, int(high[-1]), 1)
+    first, last = lines[surge].holder, lines[dive].holder
     if first:
-        surge = next(i for i, x in enumerate(lines) if x[2] == first)
+        surge = next(i for i, x in enumerate(lines) if x.holder == first)
     if last:
-        dive = next(i for i in range(len(lines) - 1, -1, -1) if lines[i][2] == last)
-    return "\n".join(t for t, _, _, apart in lines[surge : dive + 1] if not apart)
+        dive = next(i for i in range(len(lines) - 1, -1, -1) if lines[i].holder == last)
+    return "\n".join(x.text for x in lines[surge : dive + 1] if not x.apart)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -236,6 +236,15 @@ def test_lines_beside_an_article_teaser():
         assert [x for x in got if x != teaser.strip()] == [x.strip() for x in body]
 
 
+def test_lines_around_one_huge_paragraph():
+    body = ["The title", "A short lead.", "By someone", "On a day", "word " * 4000, "One.", "Two.", "Three.", "The end."]
+    page = "<body><ul><li><a href=x>Home</a><li><a href=y>About</a></ul><div><h1>" + body[0] + "</h1>" + "".join(f"<p>{x}" for x in body[1:])
+    page += "</div><div><a href=z>Older</a></div>"
+    far = page + "<div>" + "<p>A paragraph of its own with a hundred and more characters in it, which is far from the huge one." * 2 + "</div>"
+    assert line_blocks.main_text(page).split("\n") == [x.strip() for x in body]
+    assert line_blocks.main_text(far).count("A paragraph of its own") == 2
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
