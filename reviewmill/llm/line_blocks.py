@@ -1,7 +1,9 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped to lines, one per block of the page; text of scripts, styles and parts that markup names as
-menu, header, footer, sidebar, notice, advert, form or reader comment weighs nothing and is never kept. The
+menu, header, footer, sidebar, notice, advert, form or reader comment weighs nothing and is never kept. A name is a
+whole class, id or role; where a part named so, other than adverts, consent and reader comments, holds most of the
+page's text, the name doesn't count. Elements end where HTML closes them without an end tag. The
 lengths of the other lines, without link texts, are summed over windows of ``LINES`` lines. The text surges
 where these sums first reach ``SURGE`` characters and dives where they last do; on a page that never reaches
 them, at the first and last line that weighs anything. The lines between are the main text. Neighbouring lines
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 LINES, SURGE = 3, 86
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # What parts of a page are called that are not its text.
 _APART = set(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu topbar masthead header "
@@ -35,25 +38,51 @@ _APART = set(
     "subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination pager login signup search form "
     "contentinfo complementary".split()
 )
+# Those that stand for nothing else, however long such a part is.
+_SURELY_APART = set(
+    "ad ads adv advert adverts advertisement sponsor sponsored comment comments respond replies discussion cookie cookies consent".split()
+)
 _APART_TAGS = set("head nav footer aside form menu dialog select button textarea label fieldset".split())
 _HOLDERS = {"article", "main"}
 #: What lines are put in without leaving the container around it.
-_GROUPS = set("h1 h2 h3 h4 h5 h6 hgroup ul ol dl table thead tbody tfoot blockquote pre address figure figcaption center".split())
+_GROUPS = set("h1 h2 h3 h4 h5 h6 hgroup ul ol dl table thead tbody tfoot blockquote pre address figure figcaption center p li td th tr dd dt option".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub "
     "sup time tt u var wbr br".split()
 )
+#: By the tag that opens: pairs of the open elements it closes and those it doesn't look beyond.
+_PARAGRAPH = (("p",), ("td", "th", "caption", "table", "button", "object"))
+_LISTS = ("ul", "ol", "menu", "dl", "table", "td", "th", "section", "article", "main", "nav", "aside", "form", "blockquote")
+_ROWS = ("table",)
+_CLOSES = {
+    tag: (_PARAGRAPH,)
+    for tag in "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr main menu nav ol p pre search section summary table ul".split()
+} | {
+    "li": (_PARAGRAPH, (("li",), _LISTS)), "dd": (_PARAGRAPH, (("dd", "dt"), _LISTS)), "dt": (_PARAGRAPH, (("dd", "dt"), _LISTS)),
+    "td": ((("td", "th"), _ROWS),), "th": ((("td", "th"), _ROWS),), "tr": ((("tr",), _ROWS), (("td", "th"), _ROWS)),
+    "option": ((("option",), ("select", "datalist")),),
+} | {tag: ((("thead", "tbody", "tfoot"), _ROWS), (("tr",), _ROWS), (("td", "th"), _ROWS)) for tag in ("thead", "tbody", "tfoot")}
 _EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _apart(tag: str, attributes: str, inside_text: bool) -> bool:
+#: What an element is by its tag and names: text, named furniture unless it holds most of the text, furniture.
+_KEPT, _NAMED_APART, _IS_APART = 0, 1, 2
+
+
+def _apart(tag: str, attributes: str, inside_text: bool) -> int:
     if tag in _APART_TAGS or tag == "header" and not inside_text:
-        return True
+        return _IS_APART
+    if tag in ("body", "html", "article", "main"):
+        return _KEPT
+    out = _KEPT
     for found in _NAMED.finditer(attributes):
-        value = found[1] or found[2] or found[3] or ""
-        if _APART & set(re.split(r"[^a-z]+", value.lower())):
-            return tag not in ("body", "html", "article", "main")
-    return False
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            words = set(filter(None, re.split(r"[-_]+", name)))
+            # A compound counts if it is made of such names alone: cookie-banner does, article-header doesn't.
+            if words and words <= _APART:
+                out = max(out, _IS_APART if words & _SURELY_APART else _NAMED_APART)
+    return out
 
 
 class Line(NamedTuple):
@@ -66,10 +95,24 @@ class Line(NamedTuple):
     apart: bool
 
 
+def _end_implied(stack: list[tuple], tag: str) -> None:
+    """Takes off the stack what HTML closes where ``tag`` opens."""
+    for closed, bounds in _CLOSES.get(tag, ()):
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in closed:
+                del stack[i:]
+                break
+            if stack[i][0] in bounds:
+                break
+
+
 def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
-    # Tag, apart, number of the holder and of the container, 0 for others.
-    stack: list[tuple[str, bool, int, int]] = []
+    # Tag, what it is, number of the holder and of the container, 0 for others, and its own number.
+    stack: list[tuple[str, int, int, int, int]] = []
+    # Numbers of the named elements around each line, and the text that each of them holds.
+    within: list[tuple[int, ...]] = []
+    held: Counter[int] = Counter()
     parts: list[str] = []
     linked = opened = links = 0
 
@@ -77,10 +120,13 @@ def lines_of(page: str) -> list[Line]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            apart = any(x[1] for x in stack)
+            apart = any(x[1] == _IS_APART for x in stack)
             holder = next((x[2] for x in reversed(stack) if x[2]), 0)
             container = next((x[3] for x in reversed(stack) if x[3]), 0)
             out.append(Line(text, 0 if apart else max(0, len(text) - linked), holder, container, apart))
+            within.append(tuple(x[4] for x in stack if x[1] == _NAMED_APART))
+            for number in within[-1]:
+                held[number] += out[-1].weight
         parts.clear()
         linked = 0
 
@@ -106,16 +152,18 @@ def lines_of(page: str) -> list[Line]:
             if any(x[0] == tag for x in stack):
                 while stack.pop()[0] != tag:
                     pass
-        elif tag not in _EMPTY and tag not in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
+            continue
+        _end_implied(stack, tag)
+        if tag not in _EMPTY:
             inside = any(x[2] for x in stack)
             opened += 1
-            stack.append((tag, _apart(tag, found[4] or "", inside), opened * (tag in _HOLDERS), opened * (tag not in _GROUPS)))
-        elif tag in ("p", "li", "td", "dd") and _apart(tag, found[4] or "", False):
-            stack.append((tag, True, 0, 0))
+            stack.append((tag, _apart(tag, found[4] or "", inside), opened * (tag in _HOLDERS), opened * (tag not in _GROUPS), opened))
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    # A name is overruled where the text is: by most of what isn't furniture for sure, if that makes a surge.
+    least = max(SURGE, sum(x.weight for x in out) // 2 + 1)
+    return [x._replace(weight=0, apart=True) if any(held[n] < least for n in w) else x for x, w in zip(out, within, strict=True)]
 
 
 def _extended(lines: list[Line], at: int, step: int) -> int:

@@ -245,6 +245,22 @@ def test_lines_around_one_huge_paragraph():
     assert line_blocks.main_text(far).count("A paragraph of its own") == 2
 
 
+def test_lines_of_parts_with_names():
+    body = [f"Paragraph {i} of the body. " * 9 for i in range(4)]
+    held, want = "".join(f"<p>{x}" for x in body), [x.strip() for x in body]
+    for start in ("div class='content with-sidebar'", "div class='article-header'", "div id='search-results'", "section class='social'", "div data-id=search"):
+        page = f"<body><div class='cookie-banner'>We use cookies.</div><{start}>{held}<div class='share'>Share this</div></{start.split()[0]}>"
+        assert line_blocks.main_text(page).split("\n") == want, start
+    notice = "<p class='notice'>Old notice."
+    assert line_blocks.main_text(f"<div>{held}{notice}{held}</div>").split("\n") == want * 2
+    items = "".join(f"<li>{x}" for x in body)
+    assert line_blocks.main_text(f"<ul><li class=ad>Buy<ul><li>this</li><li>now</li></ul>{items}</ul>").split("\n") == want
+    cells = "".join(f"<td>{x}" for x in body)
+    assert line_blocks.main_text(f"<table><tr class=promo><td>Buy<tr>{cells}</table>").split("\n") == want
+    sidebar = "<div class='sidebar'>" + "<p>Something else to be read, at length, elsewhere. " * 3 + "</div>"
+    assert line_blocks.main_text(f"<div>{held}</div>{sidebar}").split("\n") == want
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
