@@ -6,6 +6,10 @@ trained here, in numpy by backpropagation through time, on ``SAMPLE`` labelled d
 with the lowest hash of their id, one piece of ``PIECE`` characters of each. That bound is all that is fitted;
 prediction covers every byte of every text and uses nothing but the text.
 
+A network without a class for the rest is as sure of a foreign text as of any. Whether a text is in a learned language
+at all, :class:`Fit` decides: by the share of its three-letter groups that a language's training rows have, against
+a threshold from held-out labelled rows, scored with their own language and with the others.
+
 Defined cases: a null text or one without letters is ``und`` with score 0, as is everything if no row has a
 label; repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
 """
@@ -26,6 +30,10 @@ HIDDEN, SEGMENT = 8, 128
 SAMPLE, PIECE = 400, 192
 #: Training: bytes of a sequence, sequences in a step, steps.
 _LENGTH, _BATCH, _STEPS = 48, 192, 220
+#: Characters of a held-out row that the threshold is found with, rows needed for it, and the share of them to keep.
+WHOLE, _ROWS, _KEEP = 4000, 20, 0.995
+#: Places that groups of three letters are hashed to.
+_PLACES = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -34,12 +42,13 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """``(lang, piece)`` of the training rows; at most ``per_language`` for each language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+def labelled_sample(docs: DataFrame, per_language: int = SAMPLE, of_held_out: bool = False) -> list[tuple[str, str]]:
+    """``(lang, piece)`` of the training rows, or of held-out rows; at most ``per_language`` for each language."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (held_out() if of_held_out else ~held_out()))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    at = F.pmod(key, F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
-    rows = rows.select("lang", "doc_id", key.alias("key"), F.substr("text", at, F.lit(PIECE)).alias("piece"))
+    size = WHOLE if of_held_out else PIECE
+    at = F.pmod(key, F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("lang", "doc_id", key.alias("key"), F.substr("text", at, F.lit(size)).alias("piece"))
     order = Window.partitionBy("lang").orderBy("key", "doc_id", "piece")
     rows = rows.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= per_language)
     return sorted((r.lang, r.piece) for r in rows.select("lang", "piece").collect())
@@ -137,7 +146,10 @@ class Network:
 
 
 def trained(docs: DataFrame) -> Network:
-    sample = labelled_sample(docs)
+    return _trained_on(labelled_sample(docs))
+
+
+def _trained_on(sample: list[tuple[str, str]]) -> Network:
     net = Network(sorted({lang for lang, _ in sample}))
     rows, labels = [], []
     for lang, piece in sample:
@@ -153,6 +165,46 @@ def trained(docs: DataFrame) -> Network:
     return net
 
 
+_SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def _groups(text: bytes) -> np.ndarray:
+    """Places of the three-byte groups of the words of letters, with a space at either end."""
+    data = np.frombuffer(b" " + b" ".join(text.lower().translate(_SPACED).split()) + b" ", dtype=np.uint8).astype(np.uint32)
+    return ((data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) * np.uint32(2654435761)) >> np.uint32(14)
+
+
+class Fit:
+    """Whether a text is in one of the languages: ``known[language]`` marks the groups of its training rows.
+
+    ``level`` lies midway between what held-out rows share with their own language, at the lowest hundredth, and
+    with others, at the highest. Short texts share less by chance: ``slack`` over the root of the number of groups
+    is allowed, as little as keeps ``_KEEP`` of the held-out rows. With too few of these no text is rejected.
+    """
+
+    def __init__(self, sample: list[tuple[str, str]], held: list[tuple[str, str]]):
+        self.known: dict[str, np.ndarray] = {lang: np.zeros(_PLACES, dtype=bool) for lang, _ in sample}
+        for lang, piece in sample:
+            self.known[lang][_groups(piece.encode())] = True
+        self.level, self.slack = 0.0, 0.0
+        held = [(lang, _groups(text.encode())) for lang, text in held if lang in self.known and _LETTER.search(text)]
+        if len(held) < _ROWS:
+            return
+        own = np.array([self.known[lang][g].mean() for lang, g in held])
+        other = np.array([self.known[x][g].mean() for lang, g in held for x in self.known if x != lang])
+        # A single language has no other to be told from: half of its own share is asked for.
+        low, high = np.quantile(own, 0.01), np.quantile(other, 0.99) if len(other) else 0.0
+        self.level = float(low + min(low, high)) / 2
+        roots = np.sqrt([len(g) for _, g in held])
+        self.slack = float(max(0.0, np.quantile((self.level - own) * roots, _KEEP, method="higher")))
+
+    def __call__(self, text: bytes) -> bool:
+        """Any language will do, as the network may take a short text for another's."""
+        groups = _groups(text)
+        least = self.level - self.slack / np.sqrt(len(groups)) - 1e-12
+        return any(known[groups].mean() >= least for known in self.known.values())
+
+
 #: Segments read at a time.
 _AT_ONCE = 2048
 
@@ -180,17 +232,19 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(lengths, 1)[:, None]
 
 
-def predicted(docs: DataFrame, net: Network) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every row."""
+def predicted(docs: DataFrame, net: Network, fit: Fit | None = None) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every row, and ``fits`` if there is a rule for it."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    if fit:
+        schema = schema.append(pa.field("fits", pa.bool_()))
+    sent = docs.sparkSession.sparkContext.broadcast((net, fit))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = sent.value
+        net, fit = sent.value
         for batch in batches:
             said = batch.column("text").to_pylist()
             texts = wordhash.encoded(batch.column("text"))
-            langs, scores = [], []
+            langs, scores, fits = [], [], []
             for a, b in wordhash.chunks(texts):
                 p = document_probabilities(net, texts[a:b])
                 for i in range(b - a):
@@ -202,11 +256,20 @@ def predicted(docs: DataFrame, net: Network) -> DataFrame:
                         best = int(p[i].argmax())
                         langs.append(net.languages[best])
                         scores.append(round(min(1.0, float(p[i][best])), 6))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+                    if fit:
+                        fits.append(langs[-1] != UNKNOWN and fit(texts[a + i]))
+            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(fits, pa.bool_())] * bool(fit), schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double" + ", fits boolean" * bool(fit))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     return predicted(docs, trained(docs))
+
+
+def fitting(docs: DataFrame) -> DataFrame:
+    """As :func:`identify`, with ``fits``: whether the text is in a language learned."""
+    sample = labelled_sample(docs)
+    return predicted(docs, _trained_on(sample), Fit(sample, labelled_sample(docs, of_held_out=True)))
