@@ -250,16 +250,23 @@ class Field:
 
     def decode(self, tokens: Tokens) -> np.ndarray:
         """Labels of the best path of every text."""
-        labels = np.zeros(len(tokens.start), dtype=np.int64)
+        return self.best_labels(self.scores(tokens.features), tokens.text)
+
+    def best_labels(self, score: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Labels of the best path of every text from the scores of all tokens and their texts' numbers."""
+        labels = np.zeros(len(score), dtype=np.int64)
         if not len(labels):
             return labels
-        score = self.scores(tokens.features)
-        # At an outside token that leads by more than both transitions can win, outside is part of the best path.
-        swing = 2 * float(self.pair.max() - self.pair.min()) + 1e-9
-        open_ = score[:, _OUT] <= score[:, 1:].max(axis=1) + swing
+        same = np.concatenate(([False], text[1:] == text[:-1]))
+        # Making a token outside changes two transitions and, if the next one is inside, makes that one begin, which
+        # changes a third. At a token that leads by more than all this can cost, outside is part of the best path.
+        swing = float(self.pair.max() - self.pair.min())
+        cost = np.full(len(score), 2 * swing)
+        turned = swing + score[1:, _IN] - score[1:, _BEGIN]
+        cost[:-1] += np.where(same[1:], np.maximum(0.0, turned), 0.0)
+        open_ = score[:, _OUT] <= score[:, 1:].max(axis=1) + cost + 1e-9
         if not open_.any():
             return labels
-        same = np.concatenate(([False], tokens.text[1:] == tokens.text[:-1]))
         begins = np.flatnonzero(open_ & ~(np.concatenate(([False], open_[:-1])) & same))
         ends = np.flatnonzero(open_ & ~(np.concatenate((open_[1:], [False])) & np.concatenate((same[1:], [False])))) + 1
         pair = self._allowed().tolist()

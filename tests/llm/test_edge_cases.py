@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,23 @@ def test_viterbi_on_runs_is_viterbi(spark):
         assert field.decode(tokens).tolist() == whole
 
 
+def test_viterbi_on_runs_with_strong_inside_labels():
+    rng = np.random.default_rng(8)
+    field = secret_crf.Field()
+    cases = [(np.array([[0, 9, 0], [1.5, 0, 0], [0, 0, 100.0]]), np.zeros((3, 3)))]
+    for _ in range(400):
+        score = rng.normal(0, 3, (int(rng.integers(1, 30)), 3))
+        score[:, 0] += 4
+        score[rng.random(len(score)) < 0.3, 2] += rng.choice([5, 20, 100])
+        cases.append((score, rng.normal(0, 1, (3, 3))))
+    for score, pair in cases:
+        field.pair = pair
+        text = np.zeros(len(score), dtype=np.int64)
+        text[len(score) // 2 :] = len(score) > 9
+        whole = [x for n in np.unique(text) for x in secret_crf._best_path(score[text == n].tolist(), field._allowed().tolist(), False, False)]
+        assert field.best_labels(score, text).tolist() == whole
+
+
 def test_archives(spark):
     rows = [
         (3, "http://www.b.org:80/x?q", "<p>one", 1), (1, "http://www.b.org:80/x?q", "<p>one", 1), (2, None, None, 1), (4, "odd\nurl", "", 1),
