@@ -5,10 +5,12 @@ trainable. A turn is written as ``### role: text</turn>`` and a line feed. Insid
 ``\\``, ``###`` becomes ``\3``, ``</turn>`` becomes ``\t`` and, in roles, ``:`` becomes ``\c``; so no control
 string is left in a text and the writing can be undone.
 
-The examples of a conversation of n turns hold n * n / 2 turns if each is written in full. They are therefore
-stored by their last part: ``text`` is what an example adds to the one before it, ``context_chars`` says how
-much stands before, and ``loss_start`` and ``loss_end`` bound the trainable text within the whole example.
-:func:`full_examples` writes them out. Turns after the last assistant turn make a last row without a target.
+Every example is written in full, with all of its context: ``text`` holds everything up to the end of its target,
+and ``loss_start`` and ``loss_end`` bound the trainable text in it. The examples of a conversation of n turns hold
+n * n / 2 turns, which is the size of the output. :func:`examples` first finds what each example adds to the one
+before it; :func:`full_examples` puts the context before that. ``BLOCK`` examples of a conversation are written
+together, by any task: they get the text of all earlier blocks once. Turns after the last assistant turn make a last
+row without a target.
 
 Places in a conversation are counted in two steps, within ``SPAN`` turn numbers and over the spans' sums, so
 a conversation with a third of all rows is worked on by many tasks. Only DataFrame functions are used.
@@ -30,6 +32,8 @@ OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 TARGET_ROLE = "assistant"
 #: Turn numbers counted together.
 SPAN = 256
+#: Examples of a conversation that are written together.
+BLOCK = 64
 
 
 def escape(text: Column) -> Column:
@@ -96,20 +100,32 @@ def examples(turns: DataFrame) -> DataFrame:
 
 
 def full_examples(parts: DataFrame) -> DataFrame:
-    """``conv_id, example, target_turn, text, loss_start, loss_end`` with the whole context in ``text``.
+    """``conv_id, example, target, target_turn, text, loss_start, loss_end, last`` with the whole context in ``text``.
 
-    The result is as large as the examples are; each row needs its own conversation up to the target.
+    ``last`` marks the last row of a conversation, which holds all its turns. The result is as large as the examples
+    are. The text of a block goes to each later block of its conversation, so no task needs more than its blocks do.
     """
-    earlier = parts.select(F.col("conv_id").alias("c"), F.col("example").alias("e"), F.col("text").alias("piece"))
-    joined = parts.where("target").drop("text").join(earlier, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("e") <= F.col("example")))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("e", "piece"))), lambda x: x["piece"]), "")
-    return joined.groupBy("conv_id", "example", "target_turn", "loss_start", "loss_end").agg(whole.alias("text"))
+    rows = parts.withColumn("ckey", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("block", F.floor(F.col("example") / BLOCK))
+    ends = rows.groupBy("ckey").agg(F.max("block").alias("last_block"))
+    gathered = lambda at: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, "text"))), lambda x: x["text"]), "")
+    blocks = rows.groupBy("ckey", "block").agg(gathered("example").alias("text")).join(ends, "ckey").where(F.col("block") < F.col("last_block"))
+    sent = blocks.select("ckey", F.explode(F.sequence(F.col("block") + 1, F.col("last_block"))).alias("to"), F.col("block").alias("of"), "text")
+    contexts = sent.groupBy("ckey", F.col("to").alias("block")).agg(gathered("of").alias("context"))
+    order = Window.partitionBy("ckey", "block").orderBy("example")
+    near = F.array_join(F.collect_list("text").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "")
+    rows = rows.withColumn("near", near).withColumn("follows", F.lead("example").over(order).isNotNull())
+    rows = rows.join(contexts, ["ckey", "block"], "left").join(ends.select("ckey", F.col("last_block").alias("block"), F.lit(True).alias("ends")), ["ckey", "block"], "left")
+    return rows.select(
+        "conv_id", "example", "target", "target_turn", F.concat(F.coalesce("context", F.lit("")), "near").alias("text"), "loss_start", "loss_end",
+        (F.col("ends").isNotNull() & ~F.col("follows")).alias("last"),
+    )
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """Turns and trainable texts per conversation, from the formatted rows alone.
+def read_back(full: DataFrame) -> DataFrame:
+    """Turns and trainable texts per conversation, from the full examples alone.
 
-    A digest over a whole conversation needs that conversation in one row; nothing else is gathered.
+    Turns are read from a conversation's last row and trainable texts from each example. A digest over a whole
+    conversation needs that conversation in one row; nothing else is gathered.
     """
     pieces = F.filter(F.split("text", CLOSE), lambda x: x != "")
     turn = F.transform(
@@ -119,32 +135,33 @@ def read_back(parts: DataFrame) -> DataFrame:
             unescape(F.substr(x, F.length(F.substring_index(x, MIDDLE, 1)) + len(MIDDLE) + 1)).alias("said"),
         ),
     )
-    start = (F.col("loss_start") - F.col("context_chars")).cast("int")
-    loss = F.when(F.col("target"), unescape(F.substr("text", start + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))))
-    rows = parts.select(
-        "conv_id", "example", "target", turn.alias("turns"), loss.alias("loss"),
-        F.length("text").cast("long").alias("chars"), (F.col("context_chars") + F.length("text")).alias("whole"),
+    size = (F.col("loss_end") - F.col("loss_start")).cast("int")
+    loss = F.when(F.col("target"), unescape(F.substr("text", F.col("loss_start").cast("int") + 1, size)))
+    rows = full.select(
+        "conv_id", "example", "target", F.when(F.col("last"), turn).alias("turns"), loss.alias("loss"),
+        F.when(F.col("last"), F.length("text")).cast("long").alias("chars"), F.length("text").cast("long").alias("whole"),
     )
-    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["said"], F.lit("\n")))
-    rows = rows.withColumn("lines", F.array_join(lines, ""))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["said"], F.lit("\n"))), "")
+    rows = rows.select("conv_id", "example", "target", "loss", "chars", "whole", lines.alias("lines"), F.when(F.col("turns").isNotNull(), F.size("turns")).alias("n"))
     gathered = rows.groupBy("conv_id").agg(
-        F.sum(F.size("turns")).cast("long").alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("example", "lines", F.coalesce("loss", F.lit("")).alias("loss")))).alias("all"),
+        F.sum("n").cast("long").alias("n_turns"),
+        F.max("lines").alias("lines"),
+        F.sort_array(F.collect_list(F.struct("example", F.coalesce("loss", F.lit("")).alias("loss")))).alias("all"),
         F.sum("chars").alias("formatted_chars"),
         F.sum(F.col("target").cast("long")).alias("n_examples"),
         F.coalesce(F.sum(F.when(F.col("target"), F.col("whole"))), F.lit(0)).alias("example_chars"),
         F.sum(F.length(F.coalesce("loss", F.lit("")))).cast("long").alias("loss_chars"),
     )
-    joined = lambda field: F.sha2(F.array_join(F.transform("all", lambda x: x[field]), ""), 256)
+    losses = F.array_join(F.transform("all", lambda x: x["loss"]), "")
     return gathered.select(
-        "conv_id", "n_turns", joined("lines").alias("turns_sha256"), "loss_chars", joined("loss").alias("loss_sha256"),
+        "conv_id", "n_turns", F.sha2("lines", 256).alias("turns_sha256"), "loss_chars", F.sha2(losses, 256).alias("loss_sha256"),
         "formatted_chars", "n_examples", "example_chars",
     )
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """The formatted output is written, then read back."""
-    return read_back(saved(examples(turns)))
+    """The examples are written in full, then read back."""
+    return read_back(saved(full_examples(saved(examples(turns)))))
 
 
 SQL = r"""

@@ -251,6 +251,21 @@ def test_chat(spark):
     assert full[2].text.startswith(full[1].text) and full[2].text[full[2].loss_start : full[2].loss_end] == "b"
 
 
+def test_chat_writes_whole_contexts(spark, monkeypatch):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"said {i}") for i in range(401)] + [(2, 0, "user", "alone"), (3, 0, "assistant", "first")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    written = []
+    monkeypatch.setattr(chat_targets, "saved", lambda df: written.append(df) or df)
+    got = {r.conv_id: r for r in chat_targets.digests(turns).collect()}
+    full = {(r.conv_id, r.example): r for r in written[-1].collect()}
+    piece = [f"### {r}: {t}</turn>\n" for c, _, r, t in rows if c == 1]
+    assert len(full) == 203 and [full[1, e].text for e in range(200)] == ["".join(piece[: 2 * e + 2]) for e in range(200)]
+    assert full[1, 200].text == "".join(piece) and {k for k, r in full.items() if r.last} == {(1, 200), (2, 0), (3, 0)}
+    assert all(full[1, e].text[full[1, e].loss_start : full[1, e].loss_end] == f"said {2 * e + 1}" for e in range(200))
+    assert got[1].n_turns == 401 and got[1].formatted_chars == len("".join(piece)) and got[2].n_examples == 0
+    assert got[1].example_chars == sum(len(full[1, e].text) for e in range(200))
+
+
 def test_lines():
     page = (
         "<html><head><title>t</title><script>var a='<p>';</script></head><body><div class='menu'><a>Home</a></div><header>Site</header>"
