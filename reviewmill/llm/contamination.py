@@ -1,12 +1,11 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by containment search with an exact prefix filter on hashes.
 
 Texts are sets of ``SHINGLE``-word shingles over lower-case words of letters and digits. A document contains an
 item if at least ``CONTAINMENT`` of the item's shingles are in the document's set.
 
-A signature of a long document says next to nothing about a short item in it, so the min-wise samples are drawn
-from the items: an item's sketch is its shingles with the lowest hashes. How many depends on the item's size:
-items are partitioned by size, and a partition's sketches are just long enough that a document without any
-sketched shingle can't contain the item. Documents are read once; a bitmap of fixed largest size says which of
+A signature of a long document says next to nothing about a short item in it, so no MinHash signatures are
+compared and nothing is partitioned by size. An item's sketch is its shingles with the lowest hashes, just as many
+for its size that a document without any sketched shingle can't contain the item. Documents are read once; a bitmap of fixed largest size says which of
 their shingles may be in a sketch, and which in an item. Documents with a sketched shingle give their shingles
 that may be in an item, and joining these with the items' gives the exact counts; what the bitmap lets through
 in error finds no partner there. Nothing of the items but bitmaps is sent to tasks, at any number of items.
@@ -47,8 +46,8 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def item_shingles(items: DataFrame, k: int, containment: float) -> DataFrame:
-    """``item_id, shingle, n, part, sketched``: all shingles of every item, ``part`` the partition by size."""
-    schema = pa.schema([("item_id", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("sketched", pa.bool_())])
+    """``item_id, shingle, n, sketched``: all shingles of every item."""
+    schema = pa.schema([("item_id", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64()), ("sketched", pa.bool_())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,10 +56,10 @@ def item_shingles(items: DataFrame, k: int, containment: float) -> DataFrame:
                 n = len(found)
                 if n:
                     low = np.arange(n) < sketch_length(n, containment)
-                    cols = [[ids[i]] * n, found.view(np.int64), [n] * n, [n.bit_length()] * n, low]
+                    cols = [[ids[i]] * n, found.view(np.int64), [n] * n, low]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(work, "item_id long, shingle long, n long, part long, sketched boolean")
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(work, "item_id long, shingle long, n long, sketched boolean")
 
 
 def bitmap(shingles: DataFrame, bits: int) -> np.ndarray:
