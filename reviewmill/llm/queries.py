@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewmill.llm import capture_index, chat_targets, circulant_minhash, contamination, language_id, line_blocks, mixing, phrase_dedup, secret_crf, spotsigs
+from reviewmill.llm import (
+    ball_search,
+    capture_index,
+    chat_targets,
+    circulant_minhash,
+    contamination,
+    language_id,
+    line_blocks,
+    mixing,
+    phrase_dedup,
+    secret_crf,
+    spelling_variants,
+    spotsigs,
+)
 from reviewmill.llm.shared import table
 from reviewmill.session import prepare
 
@@ -57,6 +70,14 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_blocked_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _QUERIES: dict[str, Query] = {
     "op1_capture_index": op1_capture_index,
     "op2_phrase_automata": op2_phrase_automata,
@@ -68,6 +89,8 @@ _QUERIES: dict[str, Query] = {
     "op8_secret_field": op8_secret_field,
     "op9_splitting_tree": op9_splitting_tree,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op11_blocked_gram": op11_blocked_gram,
+    "op12_ball_search": op12_ball_search,
 }
 ORACLES: dict[str, str] = {
     "op1_capture_index": capture_index.SQL,
@@ -76,6 +99,8 @@ ORACLES: dict[str, str] = {
     "op6_containment_search": contamination.SQL,
     "op9_splitting_tree": mixing.SQL,
     "op10_circulant_minhash": circulant_minhash.SQL,
+    "op11_blocked_gram": spelling_variants.SQL,
+    "op12_ball_search": ball_search.SQL,
 }
 
 
