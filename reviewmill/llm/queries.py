@@ -16,6 +16,7 @@ from reviewmill.llm import (
     line_blocks,
     mixing,
     phrase_dedup,
+    run_index,
     secret_crf,
     spelling_variants,
     spotsigs,
@@ -78,6 +79,10 @@ def op12_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 _QUERIES: dict[str, Query] = {
     "op1_capture_index": op1_capture_index,
     "op2_phrase_automata": op2_phrase_automata,
@@ -91,6 +96,7 @@ _QUERIES: dict[str, Query] = {
     "op10_circulant_minhash": op10_circulant_minhash,
     "op11_blocked_gram": op11_blocked_gram,
     "op12_ball_search": op12_ball_search,
+    "op13_run_index": op13_run_index,
 }
 ORACLES: dict[str, str] = {
     "op1_capture_index": capture_index.SQL,
@@ -101,6 +107,7 @@ ORACLES: dict[str, str] = {
     "op10_circulant_minhash": circulant_minhash.SQL,
     "op11_blocked_gram": spelling_variants.SQL,
     "op12_ball_search": ball_search.SQL,
+    "op13_run_index": run_index.SQL,
 }
 
 
