@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +96,10 @@ def weights(found: DataFrame, terms: int) -> tuple[np.ndarray, int, int]:
     return np.array([math.floor(1000 * math.log((2 * docs + 2) / (2 * int(k) + 1))) for k in having], dtype=np.int64), docs, total.words
 
 
-_TREE = "doc array<long>, begin array<int>, term array<int>, value array<long>, column array<int>, centre binary, reach binary, radius array<double>, depth int"
+_TREE = "doc array<long>, begin array<int>, term array<int>, value array<long>, column array<int>, centre binary, reach binary, radius array<double>, depth int, first boolean"
 _TREE_ARROW = pa.schema([
     ("doc", pa.list_(pa.int64())), ("begin", pa.list_(pa.int32())), ("term", pa.list_(pa.int32())), ("value", pa.list_(pa.int64())),
-    ("column", pa.list_(pa.int32())), ("centre", pa.binary()), ("reach", pa.binary()), ("radius", pa.list_(pa.float64())), ("depth", pa.int32()),
+    ("column", pa.list_(pa.int32())), ("centre", pa.binary()), ("reach", pa.binary()), ("radius", pa.list_(pa.float64())), ("depth", pa.int32()), ("first", pa.bool_()),
 ])
 
 
@@ -142,7 +143,7 @@ def _tree(docs: np.ndarray, begin: np.ndarray, term: np.ndarray, value: np.ndarr
 
 
 def trees(found: DataFrame, weight: np.ndarray, docs: int, words: int, tree: int = TREE) -> DataFrame:
-    """The index: one row per tree of documents that have a searched term."""
+    """The index: one row per tree of documents that have a searched term; ``first`` marks some with the heaviest terms."""
     scale = np.sqrt(weight.astype(np.float64))
     size = max(2, min(tree, CELLS // max(1, len(weight))))
     rank = np.empty(len(weight), dtype=np.int64)
@@ -156,14 +157,15 @@ def trees(found: DataFrame, weight: np.ndarray, docs: int, words: int, tree: int
             yield batch.append_column("top", pa.array(top))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _regrouped(batches, size):
+        heaviest = TaskContext.get().partitionId() == 0
+        for number, part in enumerate(_regrouped(batches, size)):
             n, lists = part.column("n").to_numpy(), part.column("term").combine_chunks()
             begin = lists.offsets.to_numpy().astype(np.int64)
             term, tf = lists.values.to_numpy(), part.column("tf").combine_chunks().values.to_numpy().astype(np.int64)
             term, tf, begin = term[begin[0] : begin[-1]], tf[begin[0] : begin[-1]], begin - begin[0]
             m = np.repeat(100 - 50 + (50 * n * docs) // words, np.diff(begin))
             built = _tree(part.column("doc").to_numpy(), begin, term, (1_000_000_000 * tf) // (1000 * tf + 20 * m), scale)
-            yield pa.RecordBatch.from_pylist([built], schema=_TREE_ARROW)
+            yield pa.RecordBatch.from_pylist([built | {"first": heaviest and number < FIRST_TREES}], schema=_TREE_ARROW)
 
     rows = found.where(F.size("term") > 0).mapInArrow(heaviest, f"{_VECTOR}, top long")
     rows = rows.repartitionByRange("top", F.xxhash64("doc")).sortWithinPartitions("top", F.xxhash64("doc")).drop("top")
@@ -279,7 +281,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, block: int = ITEM_
         if not count:
             continue
         index = saved(trees(found, weight, count, words, tree))
-        first = searched(index.limit(FIRST_TREES), numbers, weight, np.ones(len(ids), dtype=np.int64), top)
+        first = searched(index.where("first"), numbers, weight, np.ones(len(ids), dtype=np.int64), top)
         least = np.ones(len(ids), dtype=np.int64)
         # One row per item of the block.
         for row in ranked(first, top).where(F.col("rank") == top).collect():

@@ -148,7 +148,7 @@ def test_bounds_hold_and_prune():
     term = np.concatenate([np.sort(rng.choice(200 // (1 + i % 3), 12, replace=False)) for i in range(600)])
     begin = np.arange(601) * 12
     value = rng.integers(1, 900_000, len(term))
-    row = pa.RecordBatch.from_pylist([ball_search._tree(docs, begin, term, value, np.sqrt(weight.astype(float)))], schema=ball_search._TREE_ARROW)
+    row = pa.RecordBatch.from_pylist([ball_search._tree(docs, begin, term, value, np.sqrt(weight.astype(float))) | {"first": True}], schema=ball_search._TREE_ARROW)
     tree = ball_search.Tree(row, 0, weight)
     for seed in range(20):
         has = np.zeros(200, dtype=bool)
