@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.llm import wordhash
+from reviewmill.llm.shared import lowest_share
 
 HIDDEN, SEGMENT = 8, 128
 SAMPLE, PIECE = 400, 192
@@ -45,10 +46,16 @@ def held_out():
 def labelled_sample(docs: DataFrame, per_language: int = SAMPLE, of_held_out: bool = False) -> list[tuple[str, str]]:
     """``(lang, piece)`` of the training rows, or of held-out rows; at most ``per_language`` for each language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (held_out() if of_held_out else ~held_out()))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
     size = WHOLE if of_held_out else PIECE
     at = F.pmod(key, F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
     rows = rows.select("lang", "doc_id", key.alias("key"), F.substr("text", at, F.lit(size)).alias("piece"))
+    # One row per language; of each only as many rows as a sample needs meet in a task.
+    counts = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().collect()]
+    lowest = F.lit(False)
+    for lang, count in counts:
+        lowest = lowest | ((F.col("lang") == lang) & lowest_share("key", count, per_language))
+    rows = rows.where(lowest)
     order = Window.partitionBy("lang").orderBy("key", "doc_id", "piece")
     rows = rows.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= per_language)
     return sorted((r.lang, r.piece) for r in rows.select("lang", "piece").collect())
@@ -175,34 +182,37 @@ def _groups(text: bytes) -> np.ndarray:
 
 
 class Fit:
-    """Whether a text is in one of the languages: ``known[language]`` marks the groups of its training rows.
+    """Whether a text is in the language the network names: ``known[language]`` marks the groups of its training rows.
 
     ``level`` lies midway between what held-out rows share with their own language, at the lowest hundredth, and
-    with others, at the highest. Short texts share less by chance: ``slack`` over the root of the number of groups
-    is allowed, as little as keeps ``_KEEP`` of the held-out rows. With too few of these no text is rejected.
+    with others, at the highest. Short texts share less by chance, and the network takes some for another's:
+    ``slack`` over the root of the number of groups is allowed, as little as keeps ``_KEEP`` of the held-out rows by
+    the language the network names for them. With too few of these no text is rejected.
     """
 
-    def __init__(self, sample: list[tuple[str, str]], held: list[tuple[str, str]]):
+    def __init__(self, sample: list[tuple[str, str]], held: list[tuple[str, str]], net: Network):
         self.known: dict[str, np.ndarray] = {lang: np.zeros(_PLACES, dtype=bool) for lang, _ in sample}
         for lang, piece in sample:
             self.known[lang][_groups(piece.encode())] = True
         self.level, self.slack = 0.0, 0.0
-        held = [(lang, _groups(text.encode())) for lang, text in held if lang in self.known and _LETTER.search(text)]
+        held = [(lang, text.encode()) for lang, text in held if lang in self.known and _LETTER.search(text)]
         if len(held) < _ROWS:
             return
+        best = document_probabilities(net, [text for _, text in held]).argmax(axis=1)
+        named = [net.languages[k] for k in best]
+        held = [(lang, _groups(text)) for lang, text in held]
         own = np.array([self.known[lang][g].mean() for lang, g in held])
         other = np.array([self.known[x][g].mean() for lang, g in held for x in self.known if x != lang])
         # A single language has no other to be told from: half of its own share is asked for.
         low, high = np.quantile(own, 0.01), np.quantile(other, 0.99) if len(other) else 0.0
         self.level = float(low + min(low, high)) / 2
         roots = np.sqrt([len(g) for _, g in held])
-        self.slack = float(max(0.0, np.quantile((self.level - own) * roots, _KEEP, method="higher")))
+        said = np.array([self.known[lang][g].mean() for lang, (_, g) in zip(named, held, strict=True)])
+        self.slack = float(max(0.0, np.quantile((self.level - said) * roots, _KEEP, method="higher")))
 
-    def __call__(self, text: bytes) -> bool:
-        """Any language will do, as the network may take a short text for another's."""
+    def __call__(self, text: bytes, lang: str) -> bool:
         groups = _groups(text)
-        least = self.level - self.slack / np.sqrt(len(groups)) - 1e-12
-        return any(known[groups].mean() >= least for known in self.known.values())
+        return bool(self.known[lang][groups].mean() >= self.level - self.slack / np.sqrt(len(groups)) - 1e-12)
 
 
 #: Segments read at a time.
@@ -232,44 +242,55 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(lengths, 1)[:, None]
 
 
-def predicted(docs: DataFrame, net: Network, fit: Fit | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every row, and ``fits`` if there is a rule for it."""
+def _decided(net: Network, column: pa.Array, fit: Fit | None = None) -> tuple[list[str], list[float], list[bool]]:
+    """Language and score of each text, and whether it fits that language, if there is a rule for it."""
+    said, texts = column.to_pylist(), wordhash.encoded(column)
+    langs, scores, fits = [], [], []
+    for a, b in wordhash.chunks(texts):
+        p = document_probabilities(net, texts[a:b])
+        for i in range(b - a):
+            text = said[a + i]
+            if not net.languages or text is None or not _LETTER.search(text):
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+            else:
+                best = int(p[i].argmax())
+                langs.append(net.languages[best])
+                scores.append(round(min(1.0, float(p[i][best])), 6))
+            fits.append(langs[-1] != UNKNOWN and (fit is None or fit(texts[a + i], langs[-1])))
+    return langs, scores, fits
+
+
+def predicted(docs: DataFrame, net: Network) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    if fit:
-        schema = schema.append(pa.field("fits", pa.bool_()))
-    sent = docs.sparkSession.sparkContext.broadcast((net, fit))
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, fit = sent.value
         for batch in batches:
-            said = batch.column("text").to_pylist()
-            texts = wordhash.encoded(batch.column("text"))
-            langs, scores, fits = [], [], []
-            for a, b in wordhash.chunks(texts):
-                p = document_probabilities(net, texts[a:b])
-                for i in range(b - a):
-                    text = said[a + i]
-                    if not net.languages or text is None or not _LETTER.search(text):
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
-                    else:
-                        best = int(p[i].argmax())
-                        langs.append(net.languages[best])
-                        scores.append(round(min(1.0, float(p[i][best])), 6))
-                    if fit:
-                        fits.append(langs[-1] != UNKNOWN and fit(texts[a + i]))
-            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(fits, pa.bool_())] * bool(fit), schema=schema)
+            langs, scores, _ = _decided(sent.value, batch.column("text"))
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double" + ", fits boolean" * bool(fit))
+    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     return predicted(docs, trained(docs))
 
 
-def fitting(docs: DataFrame) -> DataFrame:
-    """As :func:`identify`, with ``fits``: whether the text is in a language learned."""
+def fitting(docs: DataFrame, net: Network | None = None) -> DataFrame:
+    """Rows of ``docs`` whose text is in the language that the network names; its columns as they are.
+
+    Texts without letters go. Each text is decided where it is read, so no row is moved.
+    """
     sample = labelled_sample(docs)
-    return predicted(docs, _trained_on(sample), Fit(sample, labelled_sample(docs, of_held_out=True)))
+    net = net or _trained_on(sample)
+    sent = docs.sparkSession.sparkContext.broadcast((net, Fit(sample, labelled_sample(docs, of_held_out=True), net)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_decided(sent.value[0], batch.column("text"), sent.value[1])[2], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm import wordhash
+from reviewmill.llm.shared import lowest_share
 
 # The base patterns, in their order.
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -305,12 +306,14 @@ _WINDOW = 24
 def trained(docs: DataFrame) -> Field:
     """A field fitted on the bounded sample and the made-up lines."""
     pattern = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
     has = F.regexp_extract("text", pattern, 0) != ""
-    rows = docs.where(F.col("text").isNotNull()).select("text", "doc_id", key.alias("key"), has.alias("has"))
+    rows = docs.where(F.col("text").isNotNull()).select("text", "doc_id", key.alias("key"))
+    counts = {r.has: r["count"] for r in rows.groupBy(has.alias("has")).count().collect()}
     lines = made_up()
     n_made_up = len(lines)
-    for part in (rows.where("has"), rows.where("not has")):
+    for kind, wanted in ((True, has), (False, ~has)):
+        part = rows.where(lowest_share("key", counts.get(kind, 0), SAMPLE)).where(wanted)
         # Only the surroundings of the first match, or the beginning, are learned from.
         cut = F.substr("text", F.greatest(F.regexp_instr("text", F.lit(pattern)) - 300, F.lit(1)), F.lit(900))
         for r in part.select("key", "doc_id", cut.alias("piece")).orderBy("key", "doc_id", "piece").limit(SAMPLE).collect():

@@ -45,6 +45,16 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def lowest_share(key: str, count: int, wanted: int):
+    """Condition that holds for about four times the ``wanted`` lowest of ``count`` 64-bit hashes, and so for all of those.
+
+    A sample of the lowest hashes that filters by it first brings as many rows to the driver at every size.
+    """
+    if count <= 4 * wanted:
+        return F.lit(True)
+    return F.col(key) < F.lit((4 * wanted << 64) // count - (1 << 63))
+
+
 def parallel(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt out anew by ``keys`` over the session's shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys])

@@ -329,3 +329,33 @@ def test_stages_keep_columns_and_clean_documents(spark, docs):
     ids = lambda out: {r.doc_id for r in out.select("doc_id").collect()}
     assert ids(corpus_pipeline.language(spark, docs, sf_dir)) >= {1, 2, 3, 7, 10, 13, None}
     assert ids(corpus_pipeline.near_dedup(spark, docs, sf_dir)) == {1, 4, 5, 6, 7, 9, 10, 11, 12, 13, None}
+
+
+def test_the_network_decides_in_the_language_stage(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    foreign = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    every = docs.union(spark.createDataFrame([(-1, foreign, None, None, len(foreign))], docs.schema))
+    net = language_id.trained(docs)
+    right = {r.doc_id for r in language_id.fitting(every, net).select("doc_id").collect()}
+    for name in ("out", "bias"):
+        net.weights[name] = np.zeros_like(net.weights[name])
+    wrong = {r.doc_id for r in language_id.fitting(every, net).select("doc_id").collect()}
+    assert -1 not in right and right != wrong and len(right) > 0.98 * docs.count()
+
+
+def test_stages_settle_repeated_and_missing_ids(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null").first().text
+    rows = [(1, _words(21, 60), "en", "a", 1), (1, _words(22, 60), "en", "a", 1), (1, _words(21, 60), "fr", "b", 2), (2, _words(21, 60), "en", "a", 1), (None, item, None, None, 1), (None, _words(23, 60), None, None, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    both = [_tuples(corpus_pipeline.near_dedup(spark, spark.createDataFrame(order, schema), sf_dir), "doc_id", "text", "lang") for order in (rows, rows[::-1])]
+    assert both[0] == both[1] and len(both[0]) == 4 and {t for i, t, _ in both[0] if i == 1} == {rows[0][1], rows[1][1]}
+    clean = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, schema), sf_dir)
+    assert clean.count() == 5 and clean.where("doc_id is null").count() == 1
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
