@@ -10,12 +10,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewmill.functions.dates import DEFAULT_ZONE
 from reviewmill.functions.display import mode_label
-from reviewmill.functions.numbers import avg_positive, round_half_up_1
 from reviewmill.operators import branches as dim
 from reviewmill.operators import quality
+from reviewmill.operators.delta import STORED_COLUMNS, merge_delta, signed
 from reviewmill.operators.dedup import last_per_key
 from reviewmill.operators.matching import match_branches
 from reviewmill.operators.merge import (
@@ -28,12 +29,14 @@ from reviewmill.operators.merge import (
 )
 from reviewmill.operators.metrics import branch_counts, count_map, usage_projection
 from reviewmill.operators.normalize import attach_branch, branch_updates, normalize_items, normalize_paged
+from reviewmill.operators.order import ORDER, dataset_date, descending, keep_order, stored_place
 from reviewmill.operators.ranking import cap_newest_per_branch
 from reviewmill.session import cut_lineage
 from reviewmill.sources.csv_inputs import load_additions, load_removals, read_csv, removal_keys
+from reviewmill.sources.documents import with_review_columns
 from reviewmill.sources.landed import explode_pages, page_totals
-from reviewmill.sources.sinks import choose_root, publish, write_raw
-from reviewmill.schemas import ADDITIONS, REMOVALS
+from reviewmill.sources.sinks import MONTH, Manifest, choose_root, latest, publish, read_version
+from reviewmill.schemas import ADDITIONS, BRANCH_PUBLISHED, REMOVALS
 
 
 @dataclass
@@ -44,8 +47,6 @@ class Dataset:
     branches: DataFrame
     meta: DataFrame
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {"reviews": self.reviews, "branches": self.branches, "meta": self.meta}
 
 
 def _meta(reviews: DataFrame, **fields: Column) -> DataFrame:
@@ -54,6 +55,32 @@ def _meta(reviews: DataFrame, **fields: Column) -> DataFrame:
     )
 
 
+def stored_rows(reviews: DataFrame) -> DataFrame:
+    """Stored reviews with their place in the merge order: as published, as listed in a document, or newest first."""
+    if ORDER in reviews.columns:
+        return stored_place(reviews)
+    if "pos" in reviews.columns:
+        return stamp_order(reviews, STORED, F.col("pos")).drop("pos")
+    return stamp_order(reviews, STORED)
+
+
+def prepared(dataset: Dataset, run: int) -> dict[str, DataFrame]:
+    """The tables of a whole dataset as they are published: reviews with their stored order and signatures."""
+    reviews = dataset.reviews if "ord" in dataset.reviews.columns else stored_rows(dataset.reviews)
+    reviews = with_review_columns(reviews)
+    place = F.struct("ord.*") if len(reviews.schema["ord"].dataType.fields) == 4 else F.struct(
+        F.lit(INCOMING).alias("phase"), F.lit(0).cast("bigint").alias("pos"), descending(dataset_date()).alias("key"), F.col("reviewKey").alias("tie")
+    )
+    ordered = keep_order(reviews.withColumn("ord", place), run)
+    return {"reviews": signed(ordered).select(*STORED_COLUMNS), "branches": dataset.branches, "meta": dataset.meta}
+
+
+def publish_whole(spark: SparkSession, root: str, dataset: Dataset, **more: DataFrame) -> Manifest:
+    """Publish a whole dataset as the next version."""
+    base = latest(spark, root)
+    return publish(spark, root, prepared(dataset, base.number + 1 if base else 1) | more, base)
+
+
 def _text(value: str | None) -> Column:
     return F.lit(value).cast("string")
 
@@ -127,13 +154,13 @@ def manual_rebuild(
         configured,
         base.branches,
         base.meta,
-        stamp_order(base.reviews, STORED),
+        stored_rows(base.reviews),
         stamp_order(added.drop("error"), INCOMING, F.col("row_id")).drop("row_id"),
         removed,
         generated_at,
     )
     if write:
-        publish(spark, choose_root(target, False), dataset.tables())
+        publish_whole(spark, choose_root(target, False), dataset)
     return dataset
 
 
@@ -201,9 +228,7 @@ def full_sync(
     quality.require_none(dataset.meta.where("reviewCount = 0"), "no reviews were landed, rows", "reviewCount")
     quality.require_none(quality.branches_without_reviews(selected, dataset.reviews), "branches without reviews", "id")
     if write:
-        root = choose_root(target, preview)
-        write_raw(pages, f"{root}/raw")
-        publish(spark, root, dataset.tables())
+        publish_whole(spark, choose_root(target, preview), dataset, raw=pages)
     return dataset
 
 
@@ -242,27 +267,53 @@ def build_incremental(
     """Merge a normalised batch into the current dataset. Review inputs carry ``ord``."""
     merged = cut_lineage(rekey(merge_incremental(current.reviews, incoming, keys)))
     published = dim.enrich_incremental(configured, current.branches, updates, merged)
+    meta = incremental_meta(configured, incoming, merged, generated_at, max_reviews, preview, actor_id, run_id)
+    return Dataset(merged, published, meta)
+
+
+def incremental_meta(
+    configured: DataFrame,
+    incoming: DataFrame,
+    counted: int | DataFrame,
+    generated_at: str,
+    max_reviews: int,
+    preview: bool,
+    actor_id: str | None,
+    run_id: str | None,
+) -> DataFrame:
+    """Run data of an incremental job; ``counted`` are the reviews published or their number."""
     usage = usage_projection(configured, max_reviews).select(
         F.col("daily_reviews").alias("apifyProjectedDailyReviews"),
         F.col("monthly_reviews").alias("apifyProjectedMonthlyReviews"),
         F.col("monthly_cost").alias("apifyProjectedMonthlyCostUsd"),
         F.lit(0.60).alias("apifyPricePerThousandReviewsUsd"),
     )
-    meta = _meta(
-        merged,
-        mode=_text("preview" if preview else "live"),
-        generatedAt=_text(generated_at),
-        timezone=_text(DEFAULT_ZONE),
-        source=_text("Apify incremental sync"),
-        actorId=_text(actor_id),
-        actorRunId=_text(run_id),
-        sampled=F.lit(False),
-        apifyMaxReviewsPerBranch=F.lit(max_reviews),
-    )
     scraped = incoming.agg(F.count(F.lit(1)).alias("apifyScrapedReviewCount")).join(
         count_map(incoming, "apifyScrapedBranchCounts")
     )
-    return Dataset(merged, published, meta.join(scraped).join(usage))
+    fields = {
+        "mode": _text("preview" if preview else "live"),
+        "generatedAt": _text(generated_at),
+        "timezone": _text(DEFAULT_ZONE),
+        "source": _text("Apify incremental sync"),
+        "actorId": _text(actor_id),
+        "actorRunId": _text(run_id),
+        "sampled": F.lit(False),
+        "apifyMaxReviewsPerBranch": F.lit(max_reviews),
+    }
+    if isinstance(counted, DataFrame):
+        return _meta(counted, **fields).join(scraped).join(usage)
+    head = [column.alias(name) for name, column in fields.items()]
+    return scraped.join(usage).select(*head, F.lit(counted).cast("bigint").alias("reviewCount"), *scraped.columns, *usage.columns)
+
+
+def _check_run(configured: DataFrame, selected: DataFrame, items: DataFrame, max_reviews: int, mode: str, preview: bool, explicit: bool) -> None:
+    """Refuse a run that may not publish, or landed more than it was allowed to."""
+    allowed = quality.coverage(configured, selected, mode, preview, explicit)
+    quality.require_none(allowed.where("verdict <> 'ok'"), "run may not publish", "verdict")
+    usage = usage_projection(selected, max_reviews).where("status like 'blocked%'")
+    quality.require_none(usage, "scraping volume", "status")
+    quality.require_none(quality.overfetch(items, selected, max_reviews), "more items than the run allows", "items")
 
 
 def incremental_sync(
@@ -279,29 +330,70 @@ def incremental_sync(
     preview: bool = False,
     explicit_selection: bool = False,
     write: bool = True,
-    version: str | None = None,
 ) -> Dataset:
-    """Land, normalise, match, check, merge, check again, publish."""
-    allowed = quality.coverage(configured, selected, mode, preview, explicit_selection)
-    quality.require_none(allowed.where("verdict <> 'ok'"), "run may not publish", "verdict")
-    usage = usage_projection(selected, max_reviews).where("status like 'blocked%'")
-    quality.require_none(usage, "scraping volume", "status")
-    quality.require_none(quality.overfetch(items, selected, max_reviews), "more items than the run allows", "items")
+    """Land, normalise, match, check, merge with a given dataset, check again, publish it whole."""
+    _check_run(configured, selected, items, max_reviews, mode, preview, explicit_selection)
     reviews, updates = normalize_batch(items, selected, generated_at)
     reviews, updates = cut_lineage(reviews), cut_lineage(updates)
     check_batch(reviews, selected)
     keys = removal_keys(removals)
     incoming = stamp_order(reviews, INCOMING, F.col("item_ord")).drop("item_ord")
-    stored = Dataset(stamp_order(current.reviews, STORED), current.branches, current.meta)
+    stored = Dataset(stored_rows(current.reviews), current.branches, current.meta)
     dataset = build_incremental(configured, stored, incoming, updates, keys, generated_at, max_reviews, preview)
     check_merged(current.reviews, dataset.reviews, dataset.branches, keys)
     if write:
-        root = choose_root(target, preview)
-        write_raw(items, f"{root}/raw")
-        publish(spark, root, dataset.tables(), version)
+        publish_whole(spark, choose_root(target, preview), dataset, raw=items)
     return dataset
 
 
-def rating_overview(reviews: DataFrame) -> DataFrame:
-    """Average of positive ratings over everything, unrounded and rounded."""
-    return reviews.agg(avg_positive("rating").alias("average")).withColumn("rounded", round_half_up_1("average"))
+def incremental_publish(
+    spark: SparkSession,
+    configured: DataFrame,
+    selected: DataFrame,
+    items: DataFrame,
+    removals: DataFrame,
+    root: str,
+    generated_at: str,
+    max_reviews: int = 20,
+    mode: str = "incremental",
+    preview: bool = False,
+    explicit_selection: bool = False,
+    actor_id: str | None = None,
+    run_id: str | None = None,
+    base: Manifest | None = None,
+    state: dict[str, str | int] | None = None,
+) -> Manifest:
+    """The incremental job on the table published below ``root``: only what the batch can change is merged and written.
+
+    The version holds reviews, branches, run data and the raw items. Run data that this job doesn't set is carried on
+    from the version before.
+    """
+    base = base or latest(spark, root)
+    _check_run(configured, selected, items, max_reviews, mode, preview, explicit_selection)
+    reviews, updates = normalize_batch(items, selected, generated_at)
+    reviews, updates = cut_lineage(reviews), cut_lineage(updates)
+    check_batch(reviews, selected)
+    keys = removal_keys(removals)
+    incoming = stamp_order(reviews, INCOMING, F.col("item_ord")).drop("item_ord")
+    delta = merge_delta(spark, root, base, incoming, keys)
+    stored = read_version(spark, root, base, "reviews") if base else None
+    every = delta.rows.select("branchId", "reviewKey", "rating")
+    if stored is not None:
+        every = every.unionByName(stored.where(~F.col(MONTH).isin(delta.touched)).select("branchId", "reviewKey", "rating"))
+    branches = read_version(spark, root, base, "branches") if base else None
+    branches = spark.createDataFrame([], T.StructType(BRANCH_PUBLISHED.fields)) if branches is None else branches
+    published = cut_lineage(dim.enrich_incremental(configured, branches, updates, every))
+    # A merge can repeat a key only among what it merged; what stays was checked when it was published.
+    quality.require_none(quality.repeated_keys(delta.merged), "duplicate review ids after merge", "reviewKey")
+    quality.require_none(quality.invalid_ratings(delta.merged), "invalid ratings after merge", "reviewKey")
+    quality.require_none(quality.unknown_branches(every, published), "unknown branches after merge", "reviewKey")
+    count = delta.after(base)
+    if count < delta.before - delta.gone:
+        raise quality.CheckFailed(f"merged dataset lost rows, rows kept: {count}")
+    meta = incremental_meta(configured, incoming, count, generated_at, max_reviews, preview, actor_id, run_id)
+    before = read_version(spark, root, base, "meta") if base else None
+    if before is not None:
+        carried = [c for c in before.columns if c not in meta.columns]
+        meta = meta.join(before.select(*carried).limit(1), how="left", on=F.lit(True)) if carried else meta
+    tables = {"reviews": delta.rows, "branches": published, "meta": meta, "raw": items}
+    return publish(spark, root, tables, base, delta.touched, state)

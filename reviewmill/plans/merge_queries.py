@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.operators import branches as dim
 from reviewmill.operators import dedup, matching
+from reviewmill.operators.delta import STORED_COLUMNS, merge_delta, signed
 from reviewmill.operators.merge import (
     INCOMING,
     apply_removals,
@@ -15,6 +16,7 @@ from reviewmill.operators.merge import (
 )
 from reviewmill.operators.metrics import usage_projection
 from reviewmill.operators.normalize import attach_branch, branch_updates
+from reviewmill.operators.order import keep_order
 from reviewmill.plans import jobs
 from reviewmill.plans.binding import (
     FETCHED_AT,
@@ -29,6 +31,8 @@ from reviewmill.plans.cleaning_queries import _DATED as DATED_SQL
 from reviewmill.plans.cleaning_queries import ITEMS_SQL, PAGES_SQL
 from reviewmill.plans.oracle import avg_pos, norm, round1, with_branches, with_reviews
 from reviewmill.plans.registry import query
+from reviewmill.session import scratch_path
+from reviewmill.sources.sinks import publish, read_table
 
 SIGNED_SQL = f"""
 signed as (
@@ -195,6 +199,24 @@ def merge_incremental_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merge_output(merge_incremental(current, incoming, _removals(spark, sf_dir)))
 
 
+_VALUES = "value_key as review_key, rating, comment, published_at, updated_at, response, response_date"
+
+
+@query("merge_delta", with_reviews(f"select {_VALUES} from merged", INCREMENTAL_SQL))
+def merge_delta_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scraped batch folded into a published table: only the months it can change are merged and written."""
+    current, incoming = _phases(spark, sf_dir, _SCRAPED_NEW)
+    root, withdrawn = scratch_path(spark, "delta"), _removals(spark, sf_dir)
+    stored = signed(keep_order(current, 1)).select(*STORED_COLUMNS)
+    base = publish(spark, root, {"reviews": stored})
+    delta = merge_delta(spark, root, base, incoming, withdrawn)
+    publish(spark, root, {"reviews": delta.rows}, base, delta.touched)
+    return read_table(spark, root, "reviews").select(
+        F.col("reviewKey").alias("review_key"), F.col("rating").cast("bigint").alias("rating"), "comment", F.col("publishedAt").alias("published_at"),
+        F.col("updatedAt").alias("updated_at"), F.col("ownerResponseText").alias("response"), F.col("ownerResponseDate").alias("response_date"),
+    )
+
+
 # --- jobs ---------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.operators.merge import INCOMING, stamp_order
+from reviewmill.operators.order import numbered
 from reviewmill.plans.binding import event_reviews, table
 from reviewmill.plans.registry import query
 from reviewmill.session import scratch_path
@@ -42,6 +43,31 @@ def stream_incremental_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_three_batches",
+    f"""with {_EVENTS_SQL}
+    select branch_id || '::' || event_id as review_key, branch_id, rating, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as published_at,
+      row_number() over (order by strftime(ts, '%Y-%m-%dT%H:%M:%SZ') desc, event_id % 3, event_id) as place
+    from (select * from rows qualify row_number() over (partition by branch_id, user_id, cast(ts as date), rating order by event_id % 3, event_id) = 1)""",
+)
+def stream_three_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events landed in three files, each merged into what is published by touching what it can change; ``place`` is the stored order."""
+    folder, root = scratch_path(spark, "landed"), scratch_path(spark, "stream-table")
+    events = table(spark, sf_dir, "events")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.parquet(f"{folder}/{part}")
+    # The order in which files were landed is the order of the batches.
+    landed = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+    stamped = lambda batch: stamp_order(event_reviews(batch), INCOMING, F.col("event_id")).drop("event_id")
+    files = landed.option("pathGlobFilter", "*.parquet").parquet(folder)
+    stream_incremental(files, stamped, root, scratch_path(spark, "stream-state")).awaitTermination()
+    reviews = read_table(spark, root, "reviews")
+    return numbered(reviews).select(
+        F.col("reviewKey").alias("review_key"), F.col("branchId").alias("branch_id"), F.col("rating").cast("bigint").alias("rating"),
+        F.col("publishedAt").alias("published_at"), "place",
+    )
+
+
 @query(
     "stream_weekly",
     f"""with {_EVENTS_SQL}

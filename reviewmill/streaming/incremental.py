@@ -1,8 +1,8 @@
 """Incremental merge as a stream: every micro-batch of landed rows is merged and published as a version.
 
-Late and edited reviews are settled by the merge, so no watermark is needed. A batch that was already
-published is skipped when the stream restarts, and its version folder is named after it, so repeating a
-batch never adds anything twice.
+Late and edited reviews are settled by the merge, so no watermark is needed. A version names the stream and the batch
+it holds in the same manifest as its tables. So a batch that was published is skipped when the stream restarts, and
+one that was not leaves nothing behind that a reader could see, wherever it stopped.
 """
 
 from __future__ import annotations
@@ -11,17 +11,24 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewmill.operators.merge import STORED, merge_incremental, rekey, stamp_order
-from reviewmill.schemas import REVIEW_FIELDS
+from reviewmill.operators.delta import merge_delta
 from reviewmill.session import cut_lineage
-from reviewmill.sources.sinks import current_version, publish
+from reviewmill.sources.sinks import latest, publish
 
 Check = Callable[[DataFrame, DataFrame], None]
 
 
+def published(state: dict, stream: str, batch_id: int) -> bool:
+    """Whether a version already holds this batch of the stream."""
+    return state.get(f"stream-{stream}", -1) >= batch_id
+
+
+def next_state(state: dict, stream: str, batch_id: int) -> dict:
+    return {**state, f"stream-{stream}": batch_id}
+
+
 def merge_batch(
     spark: SparkSession,
     incoming: DataFrame,
@@ -31,27 +38,30 @@ def merge_batch(
     check: Check | None = None,
     stream: str = "",
 ) -> None:
-    """Merge canonical reviews that carry ``ord`` into the published table below ``root``.
+    """Merge canonical reviews that carry ``ord`` into the published table below ``root``, unless a version holds them.
 
-    A batch is left out only if the published version is from the same ``stream`` and not older.
+    ``check`` gets the rows that were merged and the rows of the months that are written.
     """
-    own = f"batch-{stream}-"
-    version = f"{own}{batch_id:012d}"
-    published = current_version(spark, root)
-    last = published.rsplit("/", 1)[-1] if published else ""
-    if last.startswith(own) and last >= version:
+    base = latest(spark, root)
+    state = base.state if base else {}
+    if published(state, stream, batch_id):
         return
     if removal_keys is None:
         removal_keys = spark.createDataFrame([], "reviewKey string")
-    columns = [*REVIEW_FIELDS, "reviewKey", "published_ts", "ord"]
-    if published:
-        stored = stamp_order(spark.read.parquet(f"{published}/reviews"), STORED).select(*columns)
-    else:
-        stored = incoming.select(*columns).where(F.lit(False))
-    merged = cut_lineage(rekey(merge_incremental(stored, incoming.select(*columns), removal_keys)))
+    delta = merge_delta(spark, root, base, incoming, removal_keys)
     if check:
-        check(stored, merged)
-    publish(spark, root, {"reviews": merged.select(*REVIEW_FIELDS, "reviewKey", "published_ts")}, version)
+        check(delta.merged, delta.rows)
+    publish(spark, root, {"reviews": delta.rows}, base, delta.touched, next_state(state, stream, batch_id))
+
+
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """Spark names a stream in its checkpoint; a fresh checkpoint is another stream."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"].replace("-", "")
+
+
+def start(landed: DataFrame, one_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run over everything landed so far, then stop."""
+    return landed.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_incremental(
@@ -62,18 +72,11 @@ def stream_incremental(
     removal_keys: DataFrame | None = None,
     check: Check | None = None,
 ) -> StreamingQuery:
-    """Run over everything landed so far, then stop. ``to_reviews`` turns a batch into stamped reviews."""
+    """Reviews only. ``to_reviews`` turns a batch into stamped reviews."""
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         # The batch is read by several actions of the merge.
         rows = cut_lineage(to_reviews(batch))
-        # Spark names a stream in its checkpoint; a fresh checkpoint is another stream.
-        named = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        merge_batch(batch.sparkSession, rows, batch_id, root, removal_keys, check, named.replace("-", ""))
-
-    return (
-        landed.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        merge_batch(batch.sparkSession, rows, batch_id, root, removal_keys, check, stream_name(batch.sparkSession, checkpoint))
+
+    return start(landed, one_batch, checkpoint)

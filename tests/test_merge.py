@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from reviewmill.operators.merge import INCOMING, STORED, merge_incremental, merge_manual, stamp_order
 from reviewmill.schemas import REVIEW, REVIEW_FIELDS
 from reviewmill.sources.documents import with_review_columns
-from tests.sequential import merge_indexed, merge_scan
+from tests.model import merged
 
 SOURCES = ["Google", "Manual update", "Google Business Profile review"]
 
@@ -58,20 +58,20 @@ def random_rows(rng, n, ids, prefix=""):
 
 @pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("block_rows", [12, 50_000])
-def test_manual_merge_equals_sequential(spark, seed, block_rows):
+def test_manual_merge_equals_model(spark, seed, block_rows):
     rng = random.Random(seed)
     base, added = random_rows(rng, 40, 60, "b"), random_rows(rng, 15, 60, rng.choice(["b", "m"]))
     got = merge_manual(frame(spark, base, STORED), frame(spark, added, INCOMING), no_removals(spark), block_rows)
-    assert values(r.asDict() for r in got.collect()) == values(merge_scan(base + added, True))
+    assert values(r.asDict() for r in got.collect()) == values(merged(base, added, True, False))
 
 
 @pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("block_rows", [12, 50_000])
-def test_incremental_merge_equals_sequential(spark, seed, block_rows):
+def test_incremental_merge_equals_model(spark, seed, block_rows):
     rng = random.Random(100 + seed)
     stored, new = random_rows(rng, 30, 50, "b"), random_rows(rng, 25, 50, rng.choice(["b", "n"]))
     got = merge_incremental(frame(spark, stored, STORED), frame(spark, new, INCOMING), no_removals(spark), block_rows)
-    assert values(r.asDict() for r in got.collect()) == values(merge_indexed(stored, new))
+    assert values(r.asDict() for r in got.collect()) == values(merged(stored, new, False, True))
 
 
 def test_many_small_groups(spark):
@@ -84,7 +84,7 @@ def test_many_small_groups(spark):
 
     stored, new = some("b", 120), some("n", 60)
     got = merge_incremental(frame(spark, stored, STORED), frame(spark, new, INCOMING), no_removals(spark))
-    assert values(r.asDict() for r in got.collect()) == values(merge_indexed(stored, new))
+    assert values(r.asDict() for r in got.collect()) == values(merged(stored, new, False, True))
 
 
 def test_removals_win_over_stored_and_new_rows(spark):
