@@ -148,14 +148,14 @@ def manual_rebuild(
     added = cut_lineage(load_additions(read_csv(spark, additions_csv, ADDITIONS), configured, base.branches, generated_at))
     removed = cut_lineage(load_removals(read_csv(spark, removals_csv, REMOVALS), configured))
     for rows, name in ((added, "additions"), (removed, "removals")):
-        faulty = quality.input_errors(rows).select(F.concat_ws(" ", F.lit("row"), "row_id", "error").alias("fault"))
+        faulty = quality.input_errors(rows).select(F.concat_ws(" ", "file", F.lit("row"), F.concat("row", F.lit(":")), "error").alias("fault"))
         quality.require_none(faulty, f"{name} file", "fault")
     dataset = build_manual(
         configured,
         base.branches,
         base.meta,
         stored_rows(base.reviews),
-        stamp_order(added.drop("error"), INCOMING, F.col("row_id")).drop("row_id"),
+        stamp_order(added.drop("error"), INCOMING, F.col("row_id")).drop("row_id", "file", "row"),
         removed,
         generated_at,
     )

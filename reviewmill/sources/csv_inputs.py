@@ -6,7 +6,6 @@ Every column is read as text and cast afterwards. Blank rows are dropped. The st
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,25 +21,28 @@ from reviewmill.functions.text import (
     nz,
     synthetic_id,
 )
+from reviewmill.operators.dedup import mark_repeats
 from reviewmill.schemas import ADDITIONS, REMOVALS
+from reviewmill.sources.csv_records import read_records
 from reviewmill.sources.documents import with_review_columns
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header, quoted line breaks, doubled quotes and a byte-order mark are understood.
+    """Header, quoted line breaks, doubled quotes and a byte-order mark are understood; many tasks read a file.
 
-    A missing file is an empty input. ``row_id`` grows with the position in the file set.
+    A missing file is an empty input. ``file`` and ``row`` say where a row stands, the header being row 1; ``row_id``
+    grows with both.
     """
-    reader = spark.read.schema(schema).options(
-        header=True, multiLine=True, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE"
-    )
-    try:
-        rows = reader.csv(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows = spark.createDataFrame([], schema)
-    return rows.withColumn("row_id", F.monotonically_increasing_id())
+    records = read_records(spark, path)
+    names = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields)
+    parsed = F.from_csv("text", names, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    name = F.element_at(F.split("file", "/"), -1)
+    return records.select(parsed.alias("r"), "row_id", name.alias("file"), "row").select("r.*", "row_id", "file", "row")
+
+
+def _place(rows: DataFrame) -> list[str]:
+    """Columns that say where a row stands, as far as it has them."""
+    return [c for c in ("file", "row") if c in rows.columns]
 
 
 def has_content(columns: list[str]) -> Column:
@@ -58,12 +60,6 @@ def removal_keys(removals: DataFrame) -> DataFrame:
     )
 
 
-def _flag_repeats(rows: DataFrame, key: str) -> DataFrame:
-    """Mark every row but the first of its key. Aggregating first keeps a hot key off a single task."""
-    first = rows.groupBy(key).agg(F.min("row_id").alias("first_row"))
-    return rows.join(first, key).withColumn("repeated", F.col("row_id") > F.col("first_row")).drop("first_row")
-
-
 def load_removals(removals: DataFrame, branches: DataFrame) -> DataFrame:
     """Strict form: one row per filled CSV row with ``error`` null or the reason to refuse it."""
     known = branches.select(F.col("id").alias("branchId"), F.lit(True).alias("known"))
@@ -71,6 +67,7 @@ def load_removals(removals: DataFrame, branches: DataFrame) -> DataFrame:
         removals.where(has_content(REMOVALS.fieldNames()))
         .select(
             "row_id",
+            *_place(removals),
             clean("branch_id").alias("branchId"),
             clean("review_id").alias("reviewId"),
             clean("reviewer_name").alias("reviewerName"),
@@ -80,7 +77,7 @@ def load_removals(removals: DataFrame, branches: DataFrame) -> DataFrame:
         .withColumn("reviewKey", F.concat("branchId", F.lit(KEY_SEPARATOR), "reviewId"))
         .join(known, "branchId", "left")
     )
-    rows = _flag_repeats(rows, "reviewKey")
+    rows = mark_repeats(rows, "reviewKey", "row_id")
     error = (
         F.when(F.col("known").isNull(), "unknown branch_id")
         .when(F.col("reviewId") == "", "review_id is required")
@@ -112,7 +109,7 @@ def load_additions(
         .join(dim, "branchId", "left")
     )
     rows = rows.select(
-        "row_id", "branchId", "branchName", "b_placeId", "b_cid", "base_fid", "b_url",
+        "row_id", *_place(additions), "branchId", "branchName", "b_placeId", "b_cid", "base_fid", "b_url",
         clean("rating").alias("rating_text"),
         whole_number("rating").alias("rating_whole"),
         parse_rating("rating").alias("rating"),
@@ -134,7 +131,7 @@ def load_additions(
     rows = rows.withColumn("id", first_nonempty("review_id", made_id)).withColumn(
         "reviewKey", F.concat("branchId", F.lit(KEY_SEPARATOR), "id")
     )
-    rows = _flag_repeats(rows, "reviewKey")
+    rows = mark_repeats(rows, "reviewKey", "row_id")
     error = (
         F.when(F.col("branchName").isNull(), "unknown branch_id")
         .when(F.col("rating_whole").isNull(), "rating must be a whole number from 1 to 5")
@@ -146,7 +143,7 @@ def load_additions(
     )
     none = F.lit(None).cast("string")
     reviews = rows.select(
-        "row_id", "id", "branchId", "branchName", "reviewerName", "reviewerUrl",
+        "row_id", *_place(additions), "id", "branchId", "branchName", "reviewerName", "reviewerUrl",
         F.coalesce("reviewerReviewCount", F.lit(0)).alias("reviewerReviewCount"),
         "isLocalGuide", "rating", "comment",
         F.lit("").alias("commentTranslated"),
