@@ -77,9 +77,8 @@ def stream_three_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_weekly_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live counts per local week, added up over the micro-batches."""
     reviews = event_reviews(_event_stream(spark, sf_dir)).select("branchId", "rating", "published_ts")
-    target = scratch_path(spark, "weekly")
-    stream_weekly(reviews, target, scratch_path(spark, "weekly-state"), zone_offset_hours=2).awaitTermination()
-    weeks = all_weeks(spark.read.parquet(target))
-    return weeks.select(
+    root = scratch_path(spark, "weekly")
+    stream_weekly(reviews, root, scratch_path(spark, "weekly-state"), "Africa/Johannesburg").awaitTermination()
+    return all_weeks(spark, root).select(
         F.date_format("week_start", "yyyy-MM-dd").alias("week"), F.col("branchId").alias("branch_id"), "n", "rating_sum"
     )

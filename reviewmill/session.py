@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -42,22 +44,30 @@ def prepare(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a machine-local folder
-    would be lost with its machine.
+    Where it is unset, a session whose executors are threads of the driver gets a folder that goes with the process;
+    any other has to name one, as a machine-local folder would be lost with its machine.
     """
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         root = context.getCheckpointDir()
+    if not root and context.master.startswith("local["):
+        root = _own_folder(spark)
     if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="reviewmill-")
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """For a session whose executors are threads of the driver: a folder that goes when the process ends."""
+    root = tempfile.mkdtemp(prefix="reviewmill-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    spark.conf.set(CHECKPOINT_KEY, root)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from reviewmill.streaming.incremental import stream_incremental
-from reviewmill.streaming.weekly import all_weeks, stream_weekly
+from reviewmill.streaming.weekly import add_batch, all_weeks, stream_weekly, weekly_counts
 
 
 def test_late_reviews_count(spark, tmp_path):
@@ -14,7 +14,7 @@ def test_late_reviews_count(spark, tmp_path):
         spark.createDataFrame([("n1", 4, day)], "branchId string, rating int, published_ts timestamp").write.mode("append").parquet(source)
         stream = spark.readStream.schema("branchId string, rating int, published_ts timestamp").parquet(source)
         stream_weekly(stream, target, state).awaitTermination()
-    got = {str(r.week_start): (r.n, r.rating_sum) for r in all_weeks(spark.read.parquet(target)).collect()}
+    got = {str(r.week_start): (r.n, r.rating_sum) for r in all_weeks(spark, target).collect()}
     assert got == {"2024-03-04": (2, 8), "2024-01-01": (1, 4)}
 
 
@@ -27,3 +27,37 @@ def test_fresh_checkpoint_is_another_stream(spark, tmp_path, monkeypatch):
         landed = spark.readStream.schema("id long").parquet(source)
         stream_incremental(landed, lambda rows: rows.select(F.col("id")), str(tmp_path / "table"), str(tmp_path / state)).awaitTermination()
     assert [x[0] for x in seen] == [0, 0] and seen[0][1] != seen[1][1]
+
+
+def _rows(spark, *rows):
+    return spark.createDataFrame([(b, r, datetime.fromisoformat(t)) for b, r, t in rows], "branchId string, rating int, published_ts timestamp")
+
+
+def test_weeks_of_a_zone_that_changes_its_clock(spark):
+    # Sunday 2026-03-29, 23:30 in Berlin is 21:30 UTC, the week before it was 22:30 UTC; 22:30 UTC is Monday after the change.
+    rows = _rows(spark, ("a", 1, "2026-03-22T22:30:00"), ("a", 2, "2026-03-29T21:30:00"), ("a", 3, "2026-03-29T22:30:00"), ("a", 4, "2026-10-25T22:30:00"))
+    got = {(str(r.week_start), r.rating_sum) for r in weekly_counts(rows, "Europe/Berlin").collect()}
+    assert got == {("2026-03-16", 1), ("2026-03-23", 2), ("2026-03-30", 3), ("2026-10-19", 4)}
+
+
+def test_fresh_checkpoint_neither_replaces_nor_doubles_counts(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "weeks")
+    schema = "branchId string, rating int, published_ts timestamp"
+
+    def run(state):
+        stream_weekly(spark.readStream.schema(schema).parquet(source), root, str(tmp_path / state)).awaitTermination()
+        return [(r.n, r.rating_sum) for r in all_weeks(spark, root).collect()]
+
+    for rating in (4, 5):
+        _rows(spark, ("a", rating, "2026-03-03T00:00:00")).coalesce(1).write.mode("append").parquet(source)
+        got = run("old")
+    assert got == [(2, 9)] and run("old") == [(2, 9)] and run("fresh") == [(2, 9)]
+    _rows(spark, ("a", 1, "2026-03-04T00:00:00")).coalesce(1).write.mode("append").parquet(source)
+    assert run("fresh") == [(3, 10)]
+
+
+def test_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    root, counts = str(tmp_path / "weeks"), weekly_counts(_rows(spark, ("a", 4, "2026-03-03T00:00:00")))
+    for batch in (0, 1, 1, 0):
+        add_batch(spark, root, counts, "s", batch)
+    assert all_weeks(spark, root).first().n == 2
