@@ -16,7 +16,7 @@ item's has the terms' weights. The score is their inner product, in integers.
    mostly the reach decides.) A subtree below the item's worst kept score is skipped; a leaf's scores are exact
    64-bit integers. The first trees are searched alone to begin with: their worst kept scores are lower bounds for
    all others.
-4. Of each tree the best of each item remain, and Spark ranks these.
+4. Of each task's trees the best of each item remain, and Spark ranks these.
 
 Terms are compared by 64-bit hashes. A null text has no terms; a null id comes last among equal scores; rows are
 documents even if they repeat; an item's terms are those of all rows with its id; no documents or items give no
@@ -237,18 +237,29 @@ class Tree:
 
 
 def searched(index: DataFrame, items: list[np.ndarray], weight: np.ndarray, least: np.ndarray, top: int) -> DataFrame:
-    """``item, doc, score``: the best of each tree for each item, given as term numbers, that reach its ``least``."""
+    """``item, doc, score``: the best of each task's trees for each item, given as term numbers, that reach its ``least``.
+
+    What a task has kept of an item bounds its search in the trees that follow.
+    """
     schema = pa.schema([("item", pa.int32()), ("doc", pa.int64()), ("score", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
+        bound, kept = least.tolist(), [(none, none)] * len(items)
         for batch in batches:
             for row in range(batch.num_rows):
                 tree = Tree(batch, row, weight)
                 for item, terms in enumerate(items):
                     has = np.zeros(len(weight), dtype=bool)
                     has[terms] = True
-                    docs, scores = tree.search(has, top, int(least[item]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), item, dtype=np.int32)), pa.array(docs), pa.array(scores)], schema=schema)
+                    found = tree.search(has, top, bound[item])
+                    docs, scores = (np.concatenate(pair) for pair in zip(kept[item], found, strict=True))
+                    order = np.lexsort((docs, -scores))[:top]
+                    kept[item] = docs[order], scores[order]
+                    if len(order) == top:
+                        bound[item] = max(bound[item], int(scores[order[-1]]))
+        for item, (docs, scores) in enumerate(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), item, dtype=np.int32)), pa.array(docs), pa.array(scores)], schema=schema)
 
     return index.mapInArrow(work, "item int, doc long, score long")
 
