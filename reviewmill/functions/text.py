@@ -90,13 +90,6 @@ def is_manual(c: Column | str = "reviewSource") -> Column:
     return normalize_text(c) == SOURCE_MANUAL
 
 
-def can_loose_merge(left_source: Column | str, right_source: Column | str) -> Column:
-    """True for one manual and one google source, in either order."""
-    return (is_manual(left_source) & is_google(right_source)) | (
-        is_google(left_source) & is_manual(right_source)
-    )
-
-
 def synthetic_id(
     prefix: str,
     branch_id: Column | str,

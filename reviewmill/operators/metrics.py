@@ -253,6 +253,13 @@ def leaderboard(cards: DataFrame) -> DataFrame:
     return cards.withColumn("rank", F.row_number().over(order))
 
 
+def overall_latest(reviews: DataFrame, meta: DataFrame) -> DataFrame:
+    """``latest_at`` of the whole dataset: the newest review's date, else when the dataset was generated. One row."""
+    newest = reviews.agg(F.max_by("publishedAt", "published_ts").alias("newest"))
+    made = meta.agg(F.first("generatedAt").alias("made"))
+    return newest.join(made).select(first_nonempty("newest", "made").alias("latest_at"))
+
+
 def latest_reviews(reviews: DataFrame) -> DataFrame:
     """Newest review per branch; among equal instants the first in stored order.
 

@@ -94,13 +94,6 @@ def bucket_reviews(
     )
 
 
-def bucket_totals(buckets: DataFrame) -> DataFrame:
-    """Portfolio counts per period from the branch buckets."""
-    return buckets.groupBy("pos", "bucket", "label", "short_label").agg(
-        F.sum("n").alias("n"), ratio_or_zero(F.sum("rating_sum"), F.sum("n")).alias("average")
-    )
-
-
 def calendar_table(buckets: DataFrame, periods: int) -> DataFrame:
     """One row per branch with a column pair per period and a count-weighted total."""
     positions = list(range(1, periods + 1))

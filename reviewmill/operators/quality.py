@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +89,23 @@ def strict_mode(mode: str = "mode", sampled: str = "sampled") -> Column:
     return published_mode(mode) & ~F.coalesce(F.col(sampled), F.lit(False))
 
 
-def check_dataset(meta: DataFrame, branches: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Problems of the document as a whole."""
-    empty = branches.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no branches").alias("problem"), F.lit("").alias("subject"))
+def check_dataset(branches: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Problems of the document as a whole.
+
+    Without branches that is the only problem told. A review of an unknown branch is told as such and counts for no
+    other problem.
+    """
+    size = branches.agg(F.count(F.lit(1)).alias("branches"))
+    empty = size.where("branches = 0").select(F.lit("no branches").alias("problem"), F.lit("").alias("subject"))
     repeated = duplicate_branch_ids(branches).select(F.lit("duplicate branch id").alias("problem"), F.col("id").alias("subject"))
+    # One row, or none if there are no branches.
+    some = size.where("branches > 0").select(F.lit(True).alias("some"))
     unknown = unknown_branch_reviews(reviews, branches).select(
         F.lit("unknown branch").alias("problem"), F.coalesce("reviewKey", F.lit("<missing id>")).alias("subject")
     )
-    twice = duplicate_keys(reviews).select(F.lit("duplicate review key").alias("problem"), F.col("reviewKey").alias("subject"))
-    return empty.unionByName(repeated).unionByName(unknown).unionByName(twice)
+    known = reviews.join(branches.select(F.col("id").alias("branchId")).distinct(), "branchId", "left_semi")
+    twice = duplicate_keys(known).select(F.lit("duplicate review key").alias("problem"), F.col("reviewKey").alias("subject"))
+    return empty.unionByName(repeated).unionByName(unknown.join(some).drop("some")).unionByName(twice)
 
 
 def branch_consistency(branches: DataFrame, reviews: DataFrame, mode: str, sampled: bool = False, order: str | None = None) -> DataFrame:
@@ -195,8 +201,3 @@ def coverage(
     else:
         verdict = F.lit("mode may not publish")
     return sizes.withColumn("verdict", verdict)
-
-
-def require_all_ok(frames: Iterable[tuple[DataFrame, str, str]]) -> None:
-    for rows, message, label in frames:
-        require_none(rows, message, label)

@@ -241,7 +241,11 @@ _ADDITIONS_SQL = with_branches(
 )
 
 
-@query("load_additions", _ADDITIONS_SQL.replace("select *, case when numbered.error", "select * exclude (error), case when numbered.error"))
+_ADDITIONS_SQL = _ADDITIONS_SQL.replace("select *, case when numbered.error", "select * exclude (error), case when numbered.error")
+ADDITION_ERRORS_SQL = f"select error, sum(n)::bigint as n from ({_ADDITIONS_SQL}) where error <> 'ok' group by error"
+
+
+@query("load_additions", _ADDITIONS_SQL)
 def load_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Additions written as CSV with quoted line breaks, read back and loaded strictly."""
     path = scratch_path(spark, "additions")

@@ -171,12 +171,13 @@ def build_full(
     reviews = normalize_paged(explode_pages(pages), selected, generated_at)
     if max_reviews is not None:
         reviews = cap_newest_per_branch(reviews, max_reviews, F.col("page_no"), F.col("pos")).drop("position")
-    place = F.struct("page_no", "pos")
-    reviews = cut_lineage(last_per_key(reviews.withColumn("ord", place)))
+    # What a branch falls back to counts its landed rows, repeated ones as well.
+    landed = cut_lineage(reviews.withColumn("ord", F.struct("page_no", "pos")))
+    reviews = cut_lineage(last_per_key(landed))
     reported = page_totals(pages).select(
         F.col("branchId").alias("t_id"), "totalReviewCount", F.col("averageRating").alias("reported_rating")
     )
-    rated = dim.branch_rating(reviews, selected).join(reported, F.col("id") == F.col("t_id"), "left")
+    rated = dim.branch_rating(landed, selected).join(reported, F.col("id") == F.col("t_id"), "left")
     published = rated.select(
         *[c for c in selected.columns if c not in ("fid", "imageUrl", "pos")],
         F.when(F.col("totalReviewCount") > 0, F.col("totalReviewCount")).otherwise(F.col("computedCount")).alias("currentReviewsCount"),

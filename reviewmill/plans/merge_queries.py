@@ -272,10 +272,11 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "full_sync",
     with_branches(
-        f"""select b.id as branch_id, case when t.total > 0 then t.total else coalesce(l.n, 0) end as total_reviews,
-          case when t.rating > 0 then t.rating else l.mean end as rating, coalesce(l.n, 0) as matched_reviews, l.newest
+        f"""select b.id as branch_id, case when t.total > 0 then t.total else coalesce(p.n, 0) end as total_reviews,
+          case when t.rating > 0 then t.rating else coalesce(p.mean, 0.0) end as rating, coalesce(l.n, 0) as matched_reviews, l.newest
         from branch_dim b
-          left join (select branch_id, count(*) as n, {round1(avg_pos('stars'))} as mean, max(created) as newest from last_paged group by 1) l on l.branch_id = b.id
+          left join (select branch_id, count(*) as n, max(created) as newest from last_paged group by 1) l on l.branch_id = b.id
+          left join (select branch_id, count(*) as n, {round1(avg_pos('stars'))} as mean from paged group by 1) p on p.branch_id = b.id
           left join (select branch_id, arg_max(k % 50, page_no) filter (where k % 50 > 0) as total,
               arg_max({round1('(k % 51) / 10.0')}, page_no) filter (where k % 51 > 0) as rating
             from page_rows group by branch_id) t on t.branch_id = b.id""",

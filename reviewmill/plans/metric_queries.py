@@ -21,7 +21,7 @@ from reviewmill.operators import metrics, periods
 from reviewmill.operators.explorer import RANGES, date_range, explore, keyword
 from reviewmill.operators.merge import newest_first
 from reviewmill.operators.ranking import attention_list, cap_newest_per_branch
-from reviewmill.plans.binding import AS_OF, ZONE, branch_dim, planned_branches, review_rows
+from reviewmill.plans.binding import AS_OF, FETCHED_AT, ZONE, branch_dim, planned_branches, review_rows
 from reviewmill.plans.oracle import AS_OF as SQL_AS_OF
 from reviewmill.plans.oracle import avg_pos, pct, round1, with_reviews
 from reviewmill.plans.registry import query
@@ -383,6 +383,28 @@ def latest_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select(F.col("branchId").alias("branch_id"), "id", F.col("publishedAt").alias("published_at"), *_big("rating"))
 
 
+@query(
+    "effective_reviews",
+    with_reviews(
+        f"""select branch_id, count(*) as n, sum(rating)::double as rating_sum, count(*) filter (where length(id) % 3 = 0) as undated,
+          max(case when length(id) % 3 = 0 then '{FETCHED_AT}' else published_at end) as newest,
+          (select max(case when length(id) % 3 = 0 then '{FETCHED_AT}' else published_at end) from reviews) as latest_at
+        from reviews group by branch_id"""
+    ),
+)
+def effective_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews as readers see them: without a date the one of their scraping counts; newest per branch and over all."""
+    rows = review_rows(spark, sf_dir, "id", "rating", "publishedAt", "scrapedAt")
+    undated = F.length("id") % 3 == 0
+    rows = rows.withColumn("publishedAt", F.when(undated, "").otherwise(F.col("publishedAt"))).withColumn("rating", F.col("rating").cast("string"))
+    seen = metrics.effective_reviews(rows)
+    latest = metrics.overall_latest(seen, spark.range(1).select(F.lit("never").alias("generatedAt")))
+    per_branch = seen.groupBy(F.col("branchId").alias("branch_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("rating_sum"), F.count_if(undated).alias("undated"), F.max("publishedAt").alias("newest")
+    )
+    return per_branch.join(latest)
+
+
 @query("portfolio_share", _cards_sql("select id as branch_id, n as total_reviews, round(share, 6) as share from cards"))
 def portfolio_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     partials = review_rows(spark, sf_dir, "rating").groupBy("branchId").agg(*metrics.total_measures())

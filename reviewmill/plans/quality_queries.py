@@ -11,10 +11,11 @@ from reviewmill.operators import branches as dim
 from reviewmill.operators import quality
 from reviewmill.operators.dedup import first_per_key, last_per_key
 from reviewmill.plans.binding import FETCHED_AT, branch_dim, planned_branches, review_rows, table
-from reviewmill.plans.cleaning_queries import _typed_additions
+from reviewmill.plans.cleaning_queries import ADDITION_ERRORS_SQL, _typed_additions
 from reviewmill.plans.merge_queries import _REMOVED, _removals
 from reviewmill.plans.oracle import avg_pos, round1, with_branches, with_reviews
 from reviewmill.plans.registry import query
+from reviewmill.session import cut_lineage
 from reviewmill.sources.csv_inputs import load_additions
 
 
@@ -33,21 +34,12 @@ def check_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repeated_keys(review_rows(spark, sf_dir, "reviewKey")).withColumnRenamed("reviewKey", "review_key")
 
 
-@query(
-    "check_required",
-    """select case when not same and l_partkey % 50 = 0 then 'unknown branch_id'
-        when not same and l_partkey % 11 = 1 then 'rating must be a whole number from 1 to 5'
-        when not same and l_partkey % 11 = 0 then 'rating must be between 1 and 5'
-        when not same and l_partkey % 13 = 0 then 'published_at is required'
-        when not same and (l_partkey % 13 = 1 or l_partkey % 26 = 6) then 'could not understand date' end as error, count(*) as n
-    from (select *, l_partkey % 40 = 3 as same from lineitem) group by 1 having error is not null""",
-)
+@query("check_required", ADDITION_ERRORS_SQL)
 def check_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mistakes in hand-typed rows, other than repeated ids."""
+    """All mistakes in hand-typed rows, repeated ids as well."""
     typed = _typed_additions(spark, sf_dir).withColumn("row_id", F.monotonically_increasing_id())
-    loaded = load_additions(typed, branch_dim(spark, sf_dir), None, FETCHED_AT)
-    faulty = quality.input_errors(loaded).where("error <> 'duplicate review_id'")
-    return faulty.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    loaded = load_additions(cut_lineage(typed), branch_dim(spark, sf_dir), None, FETCHED_AT)
+    return quality.input_errors(loaded).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("check_branch_ids", "select 's' || (s_suppkey % 70) as id, count(*) as n from supplier group by 1 having count(*) > 1")
@@ -169,7 +161,8 @@ def check_branch_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_reviews(
         """select 'duplicate branch id' as problem, id as subject from branch_dim where branch_ord % 9 = 4
         union all select 'unknown branch', review_key from reviews where branch_id in (select id from branch_dim where branch_ord % 10 = 3 and branch_ord <> 13)
-        union all select 'duplicate review key', review_key from reviews group by review_key having count(*) > 1"""
+        union all select 'duplicate review key', review_key from reviews
+          where branch_id not in (select id from branch_dim where branch_ord % 10 = 3 and branch_ord <> 13) group by review_key having count(*) > 1"""
     ),
 )
 def check_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +170,7 @@ def check_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = branches.where("branch_ord % 10 <> 3").unionByName(branches.where("branch_ord % 9 = 4"))
     held = listed.unionByName(branches.where("branch_ord % 9 = 4 and branch_ord % 10 = 3"))
     reviews = review_rows(spark, sf_dir, "reviewKey")
-    return quality.check_dataset(reviews.limit(0), held, reviews)
+    return quality.check_dataset(held, reviews)
 
 
 @query(
