@@ -309,14 +309,20 @@ def trained(docs: DataFrame) -> Field:
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
     has = F.regexp_extract("text", pattern, 0) != ""
     rows = docs.where(F.col("text").isNotNull()).select("text", "doc_id", key.alias("key"))
-    counts = {r.has: r["count"] for r in rows.groupBy(has.alias("has")).count().collect()}
+    total = rows.count()
     lines = made_up()
     n_made_up = len(lines)
-    for kind, wanted in ((True, has), (False, ~has)):
-        part = rows.where(lowest_share("key", counts.get(kind, 0), SAMPLE)).where(wanted)
-        # Only the surroundings of the first match, or the beginning, are learned from.
-        cut = F.substr("text", F.greatest(F.regexp_instr("text", F.lit(pattern)) - 300, F.lit(1)), F.lit(900))
-        for r in part.select("key", "doc_id", cut.alias("piece")).orderBy("key", "doc_id", "piece").limit(SAMPLE).collect():
+    # Only the surroundings of the first match, or the beginning, are learned from.
+    cut = F.substr("text", F.greatest(F.regexp_instr("text", F.lit(pattern)) - 300, F.lit(1)), F.lit(900))
+    for wanted, share in ((has, 32 * SAMPLE), (~has, SAMPLE)):
+        # The rows of the lowest hashes are enough if they hold a sample; else a larger share is read.
+        while True:
+            part = rows.where(lowest_share("key", total, share)).where(wanted).select("key", "doc_id", cut.alias("piece"))
+            pieces = part.orderBy("key", "doc_id", "piece").limit(SAMPLE).collect()
+            if len(pieces) == SAMPLE or 4 * share >= total:
+                break
+            share *= 8
+        for r in pieces:
             spans = [(a, b) for a, b, kind in base_spans(r.piece) if kind]
             spans += [m.span(2) for m in _ASSIGN.finditer(r.piece) if m.end(2) - m.start(2) >= 6]
             lines.append((r.piece, spans))
