@@ -17,10 +17,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ _OUT, _BEGIN, _IN = 0, 1, 2
 #: Features of a token before its neighbours' are added, and buckets of each kind.
 _SIZES = {"length": 12, "shape": 64, "switches": 6, "digits": 6, "cue": 32, "mark": 24}
 _NEIGHBOURS = (-3, -2, -1, 1, 2)
+#: Which of its features a neighbour shows: length, shape, cue and mark.
+_SEEN = [0, 1, 4, 5]
 _FILE = 12
 
 
@@ -67,12 +71,19 @@ _HIGH[0x80:] = True
 _HEXED = np.zeros(256, dtype=bool)
 _HEXED[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
 _CLASS = np.select([_UPPER, _LOWER, _DIGIT, _HIGH], [1, 1, 2, 1], 3).astype(np.int8)
+#: What a byte shows of its token: nothing if it lies between tokens.
+_SHOWS_UPPER, _SHOWS_LOWER, _SHOWS_DIGIT, _SHOWS_HIGH, _SHOWS_NO_HEX = 1, 2, 4, 8, 16
+_SHOWS = (_UPPER * _SHOWS_UPPER + _LOWER * _SHOWS_LOWER + _DIGIT * _SHOWS_DIGIT + _HIGH * _SHOWS_HIGH + ~_HEXED * _SHOWS_NO_HEX).astype(np.uint8)
+_SHOWS[~wordhash.SPACED & ~_WORD] = 0
 _MARKS = {c: i + 1 for i, c in enumerate("=:\"',;.()[]{}<>@#$&|*%")}
 _MARK = np.array([_MARKS.get(chr(b), 0) for b in range(256)], dtype=np.int64)
 
 
 class Tokens:
-    """Tokens of texts laid end to end: ``start``, ``end`` in bytes, ``text``, and ``features``, one column each."""
+    """Tokens of texts laid end to end: ``start``, ``end`` in bytes, ``text``.
+
+    ``own`` has each token's own features, ``file`` the kind of its text, ``features`` these and its neighbours'.
+    """
 
     def __init__(self, texts: list[bytes]):
         data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
@@ -85,19 +96,23 @@ class Tokens:
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         self.offset = np.concatenate(([0], np.cumsum(lengths)))
         self.text = np.searchsorted(self.offset, self.start, side="right") - 1
-        self.features = self._features(data) if len(self.start) else np.zeros((0, FEATURES), dtype=np.int64)
+        self.own, self.file = np.zeros((0, len(_SIZES)), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if len(self.start):
+            kind = _CLASS[data]
+            inside = np.concatenate(([False], kind[1:] != kind[:-1])) & ~space & ~begins
+            self._describe(data, inside)
 
     def _count(self, flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(flags)))
-        return total[self.end] - total[self.start]
+        """How many of a token's bytes are flagged; none of those between tokens may be."""
+        return np.add.reduceat(flags, self.start, dtype=np.int64)
 
-    def _features(self, data: np.ndarray) -> np.ndarray:
+    def _describe(self, data: np.ndarray, switched: np.ndarray) -> None:
         n = self.end - self.start
-        upper, lower, digit, high, hexed = (self._count(table[data]) for table in (_UPPER, _LOWER, _DIGIT, _HIGH, _HEXED))
-        kind = _CLASS[data]
-        total = np.concatenate(([0], np.cumsum(np.concatenate(([False], kind[1:] != kind[:-1])))))
-        switches = total[self.end] - total[self.start + 1]
-        shape = (upper > 0) + 2 * (lower > 0) + 4 * (digit > 0) + 8 * (hexed == n) + 16 * (high > 0) + 32 * (upper > 1)
+        shows = np.bitwise_or.reduceat(_SHOWS[data], self.start)
+        upper, digit, switches = self._count(_UPPER[data]), self._count(_DIGIT[data]), self._count(switched)
+        shown = lambda bit: (shows & bit > 0).astype(np.int64)
+        shape = shown(_SHOWS_UPPER) + 2 * shown(_SHOWS_LOWER) + 4 * shown(_SHOWS_DIGIT) + 8 * (1 - shown(_SHOWS_NO_HEX)) + 16 * shown(_SHOWS_HIGH)
+        shape += 32 * (upper > 1)
         length = np.minimum(np.where(n <= 4, n - 1, 2 + np.log2(n).astype(np.int64)), 11)
         cue = self._cues(data, n)
         mark = np.where(n == 1, _MARK[data[self.start]], 0)
@@ -112,18 +127,30 @@ class Tokens:
         digits = np.bincount(self.text, weights=digit > 0, minlength=count) / tokens
         cues = np.bincount(self.text, weights=cue > 0, minlength=count) > 0
         marks = np.bincount(self.text, weights=mark > 0, minlength=count) / tokens
-        file = (np.minimum(digits * 20, 2).astype(np.int64) * 4 + cues * 2 + (marks > 0.4))[self.text]
-        blocks = [own]
-        for step in _NEIGHBOURS:
+        self.own, self.file = own, (np.minimum(digits * 20, 2).astype(np.int64) * 4 + cues * 2 + (marks > 0.4))[self.text]
+
+    def beside(self, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The token ``step`` places on from each, and whether it is of the same text."""
+        other = np.arange(len(self.text)) + step
+        np.clip(other, 0, max(0, len(self.text) - 1), out=other)
+        fine = self.text[other] == self.text
+        if step < 0:
+            fine[:-step] = False
+        else:
+            fine[len(fine) - min(step, len(fine)) :] = False
+        return other, fine
+
+    @cached_property
+    def features(self) -> np.ndarray:
+        """One row per token, one column per feature that holds for it."""
+        blocks = [self.own]
+        for k, step in enumerate(_NEIGHBOURS):
             # Length, shape, cue and mark of the neighbour, or none beyond the text.
-            other = np.arange(len(n)) + step
-            fine = (other >= 0) & (other < len(n))
-            other = np.where(fine, other, 0)
-            fine &= self.text[other] == self.text
-            block = own[other][:, [0, 1, 4, 5]] + _WIDTH * (1 + _NEIGHBOURS.index(step))
-            block[~fine] = _NONE + _NEIGHBOURS.index(step)
+            other, fine = self.beside(step)
+            block = self.own[other][:, _SEEN] + _WIDTH * (1 + k)
+            block[~fine] = _NONE + k
             blocks.append(block)
-        blocks.append((_NONE + len(_NEIGHBOURS) + file)[:, None])
+        blocks.append((_NONE + len(_NEIGHBOURS) + self.file)[:, None])
         return np.concatenate(blocks, axis=1)
 
     def _cues(self, data: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -148,7 +175,6 @@ for _w in _CUE:
             _CUE_LETTER2[_a * 256 + _b] = True
 _WIDTH = sum(_SIZES.values())
 _NONE = _WIDTH * (1 + len(_NEIGHBOURS))
-FEATURES = len(_SIZES) + 4 * len(_NEIGHBOURS) + 1
 _ALL = _NONE + len(_NEIGHBOURS) + _FILE
 
 
@@ -206,6 +232,36 @@ class Field:
             out += self.unary[features[:, j]]
         return out
 
+    def token_scores(self, tokens: Tokens) -> np.ndarray:
+        """:meth:`scores` of all tokens. What a token adds to its own and its neighbours' scores is summed once per kind of token."""
+        if not len(tokens.text):
+            return np.zeros((0, 3))
+        code = np.zeros(len(tokens.text), dtype=np.int64)
+        at = 0
+        for i, size in enumerate(_SIZES.values()):
+            if i in _SEEN:
+                code = code * size + (tokens.own[:, i] - at)
+            at += size
+        present = np.zeros(math.prod(list(_SIZES.values())[i] for i in _SEEN), dtype=bool)
+        present[code] = True
+        kinds = np.flatnonzero(present)
+        number = np.zeros(len(present), dtype=np.int64)
+        number[kinds] = np.arange(len(kinds))
+        kind = number[code]
+        # One token of each kind tells the features that all of them share.
+        shown = np.empty((len(kinds), len(_SEEN)), dtype=np.int64)
+        shown[kind] = tokens.own[:, _SEEN]
+        out = self.unary[shown].sum(axis=1)[kind]
+        for i in set(range(len(_SIZES))) - set(_SEEN):
+            out += self.unary[tokens.own[:, i]]
+        out += self.unary[_NONE + len(_NEIGHBOURS) + tokens.file]
+        for k, step in enumerate(_NEIGHBOURS):
+            other, fine = tokens.beside(step)
+            # Beyond the text stands one more kind.
+            table = np.concatenate((self.unary[shown + _WIDTH * (1 + k)].sum(axis=1), len(_SEEN) * self.unary[_NONE + k][None]))
+            out += table[np.where(fine, kind[other], len(kinds))]
+        return out
+
     def _allowed(self) -> np.ndarray:
         pair = self.pair.copy()
         pair[_OUT, _IN] = -1e4
@@ -251,7 +307,7 @@ class Field:
 
     def decode(self, tokens: Tokens) -> np.ndarray:
         """Labels of the best path of every text."""
-        return self.best_labels(self.scores(tokens.features), tokens.text)
+        return self.best_labels(self.token_scores(tokens), tokens.text)
 
     def best_labels(self, score: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Labels of the best path of every text from the scores of all tokens and their texts' numbers."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 
 import numpy as np
 import pytest
@@ -203,6 +204,73 @@ def test_viterbi_on_runs_is_viterbi(spark):
         assert field.decode(tokens).tolist() == whole
 
 
+def test_token_scores_are_sums_over_features():
+    rng = np.random.default_rng(3)
+    field = secret_crf.Field()
+    field.unary[:] = rng.normal(0, 1, field.unary.shape)
+    texts = [t for t, _ in secret_crf.made_up(40, seed=4)] + ["", "=", " \t", "é", "A1 ÀÉ x", "x" * 9000, "token=abc\tü", "1 2"]
+    for some in (texts, texts[:1], ["="], [""], ["a b"]):
+        tokens = secret_crf.Tokens([t.encode() for t in some])
+        assert np.allclose(field.token_scores(tokens), field.scores(tokens.features), atol=1e-9)
+
+
+def test_base_spans_against_brute_force(spark):
+    """The patterns tried at every place of texts made of their parts; counts and digest as the query gives them."""
+    rng = random.Random(12)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "apikey", "API", '"', "'", " ", "  ", ":", "=", "AKIA", "AKI", "A", "B7", "0", "9f", "deadbeef" * 3, "CDEFGHIJ12345678", "secret: abc", "é", "\n", "+/", "x", "_", "."]
+    said = {i: "".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for i in range(400)} | {-1: None, -2: ""}
+
+    def run(text, at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    def assigned(text, at):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at : at + len(n)].lower() == n and text[at : at + len(n)].isascii()), None)
+        if not name:
+            return None
+        i = at + len(name)
+        i += text[i : i + 1] in ('"', "'") and i < len(text)
+        i = run(text, i, " ")
+        if text[i : i + 1] not in (":", "="):
+            return None
+        i = run(text, i + 1, " ")
+        i += text[i : i + 1] in ('"', "'") and i < len(text)
+        end = run(text, i, string.ascii_letters + string.digits + "+/_.=-")
+        return (end, end - i) if end > i else None
+
+    def spans(text):
+        out, at = [], 0
+        while at < len(text):
+            found = assigned(text, at)
+            if found and found[1] >= 6:
+                out.append((at, 0, found[0]))
+            at = found[0] if found else at + 1
+        at = 0
+        while at < len(text):
+            end = run(text, at + 4, string.ascii_uppercase + string.digits) if text.startswith("AKIA", at) else at
+            if end > at + 4 and end - at >= 20:
+                out.append((at, 1, end))
+            at = end if end > at + 4 else at + 1
+        at = 0
+        while at < len(text):
+            end = run(text, at, "0123456789abcdef")
+            if end - at >= 24:
+                out.append((at, 2, end))
+            at = max(end, at + 1)
+        return sorted(out)
+
+    docs = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_crf.scan(docs, secret_crf.Field()).collect()}
+    for i, text in said.items():
+        want = spans(text or "")
+        told = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3)), text
+        assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest(), text
+    assert all(sum(got[i][n] for i in said) for n in ("n_assign", "n_access", "n_hex"))
+
+
 def test_viterbi_on_runs_with_strong_inside_labels():
     rng = np.random.default_rng(8)
     field = secret_crf.Field()
