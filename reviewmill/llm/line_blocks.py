@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,7 +29,11 @@ from pyspark.sql import functions as F
 
 LINES, SURGE = 3, 86
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_EVENT = re.compile(r"[>\"']")
+#: Elements whose content is not markup, and how they end.
+_RAW = re.compile(r"<(script|style|noscript|template|svg|iframe)\b", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "svg", "iframe")}
 _NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # What parts of a page are called that are not its text.
 _APART = set(
@@ -95,75 +99,179 @@ class Line(NamedTuple):
     apart: bool
 
 
-def _end_implied(stack: list[tuple], tag: str) -> None:
-    """Takes off the stack what HTML closes where ``tag`` opens."""
-    for closed, bounds in _CLOSES.get(tag, ()):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in closed:
-                del stack[i:]
-                break
-            if stack[i][0] in bounds:
-                break
+class _TagEnds:
+    """Where tags of a page end: at the first ``>`` outside quotes, or with the page.
+
+    What follows a quote is found once and kept, and places are asked for in order, so a page takes linear time.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.next, self.known = page, -1, {}
+
+    def __call__(self, at: int) -> tuple[int, int] | None:
+        """Ends of the attributes that begin at ``at`` and of their tag; None if the page ends within a quote."""
+        page, known = self.page, self.known
+        if self.next < at:
+            self.next = self._event(at)
+        event, passed = self.next, []
+        while event not in known:
+            if event == len(page):
+                known[event] = event, event
+            elif page[event] == ">":
+                known[event] = event, event + 1
+            else:
+                passed.append(event)
+                closed = page.find(page[event], event + 1)
+                if closed < 0:
+                    known[event] = None
+                else:
+                    event = self._event(closed + 1)
+        for x in passed:
+            known[x] = known[event]
+        return known[event]
+
+    def _event(self, at: int) -> int:
+        found = _EVENT.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """``(start, end, closing, tag, attributes)``; comments, declarations and raw elements have no tag."""
+    ends = _TagEnds(page)
+    at = page.find("<")
+    while at >= 0:
+        end, closing, tag, attributes = -1, False, "", ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif raw := _RAW.match(page, at):
+            found = _RAW_END[raw[1].lower()].search(page, raw.end())
+            end = found.end() if found else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at + 2) + 1 or len(page)
+        elif (name := _NAME.match(page, at)) and (found := ends(name.end())):
+            closing, tag, attributes, end = bool(name[1]), name[2].lower(), page[name.end() : found[0]], found[1]
+        if end >= 0:
+            yield at, end, closing, tag, attributes
+        at = page.find("<", max(at + 1, end))
+
+
+class _Open(NamedTuple):
+    """An open element: holder, container and named element are the innermost around it or itself, 0 for none."""
+
+    tag: str
+    kind: int
+    holder: int
+    container: int
+    named: int
+
+
+class _Stack:
+    """The open elements, with their places by tag, so that no step looks through all of them."""
+
+    def __init__(self):
+        self.open: list[_Open] = [_Open("", _KEPT, 0, 0, 0)]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.apart = self.opened = 0
+        #: By the number of a named element, the one around it.
+        self.outer: dict[int, int] = {}
+
+    def top(self) -> _Open:
+        return self.open[-1]
+
+    def push(self, tag: str, attributes: str) -> None:
+        above = self.open[-1]
+        kind = _apart(tag, attributes, above.holder > 0)
+        self.opened += 1
+        number = self.opened
+        if kind == _NAMED_APART:
+            self.outer[number] = above.named
+        self.places[tag].append(len(self.open))
+        self.apart += kind == _IS_APART
+        self.open.append(_Open(
+            tag, kind, number if tag in _HOLDERS else above.holder, above.container if tag in _GROUPS else number, number if kind == _NAMED_APART else above.named
+        ))
+
+    def cut(self, at: int) -> None:
+        """Ends the element at place ``at`` and all within it."""
+        while len(self.open) > at:
+            gone = self.open.pop()
+            self.places[gone.tag].pop()
+            self.apart -= gone.kind == _IS_APART
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of ``tags``, 0 for none."""
+        at = 0
+        for tag in tags:
+            if (places := self.places.get(tag)) and places[-1] > at:
+                at = places[-1]
+        return at
+
+    def end_implied(self, tag: str) -> None:
+        """Ends what HTML closes where ``tag`` opens."""
+        for closed, bounds in _CLOSES.get(tag, ()):
+            at = self.last(closed)
+            if at and at > self.last(bounds):
+                self.cut(at)
 
 
 def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
-    # Tag, what it is, number of the holder and of the container, 0 for others, and its own number.
-    stack: list[tuple[str, int, int, int, int]] = []
-    # Numbers of the named elements around each line, and the text that each of them holds.
-    within: list[tuple[int, ...]] = []
+    stack = _Stack()
+    # The innermost named element around each line, and the text that each of them holds.
+    within: list[int] = []
     held: Counter[int] = Counter()
     parts: list[str] = []
-    linked = opened = links = 0
+    linked = links = 0
 
     def close() -> None:
         nonlocal linked
+        if not parts:
+            return
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            apart = any(x[1] == _IS_APART for x in stack)
-            holder = next((x[2] for x in reversed(stack) if x[2]), 0)
-            container = next((x[3] for x in reversed(stack) if x[3]), 0)
-            out.append(Line(text, 0 if apart else max(0, len(text) - linked), holder, container, apart))
-            within.append(tuple(x[4] for x in stack if x[1] == _NAMED_APART))
-            for number in within[-1]:
-                held[number] += out[-1].weight
+            top = stack.top()
+            weight = 0 if stack.apart else max(0, len(text) - linked)
+            out.append(Line(text, weight, top.holder, top.container, stack.apart > 0))
+            within.append(top.named)
+            held[top.named] += weight
         parts.clear()
         linked = 0
 
     at = 0
-    for found in _TAG.finditer(page):
-        if found.start() > at:
-            parts.append(page[at : found.start()])
+    for start, end, closing, tag, attributes in _markup(page):
+        if start > at:
+            parts.append(page[at:start])
             if links:
-                linked += found.start() - at
-        at = found.end()
-        tag = (found[3] or "").lower()
+                linked += start - at
+        at = end
         if not tag:
             continue
         if tag == "a":
-            links = max(0, links - 1) if found[2] else links + 1
+            links = max(0, links - 1) if closing else links + 1
         if tag in _INLINE:
             if tag == "br":
                 parts.append(" ")
             continue
         close()
         links = 0
-        if found[2]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if closing:
+            if opened := stack.last((tag,)):
+                stack.cut(opened)
             continue
-        _end_implied(stack, tag)
+        stack.end_implied(tag)
         if tag not in _EMPTY:
-            inside = any(x[2] for x in stack)
-            opened += 1
-            stack.append((tag, _apart(tag, found[4] or "", inside), opened * (tag in _HOLDERS), opened * (tag not in _GROUPS), opened))
+            stack.push(tag, attributes)
     if at < len(page):
         parts.append(page[at:])
     close()
-    # A name is overruled where the text is: by most of what isn't furniture for sure, if that makes a surge.
+    # Named elements are numbered as they open, so inner ones come after those around them.
+    for number in sorted(stack.outer, reverse=True):
+        held[stack.outer[number]] += held[number]
+    # A name is overruled where the text is: by most of what isn't furniture for sure, if that makes a surge. An
+    # element holds at least what those within it hold, so the innermost name tells.
     least = max(SURGE, sum(x.weight for x in out) // 2 + 1)
-    return [x._replace(weight=0, apart=True) if any(held[n] < least for n in w) else x for x, w in zip(out, within, strict=True)]
+    return [x._replace(weight=0, apart=True) if n and held[n] < least else x for x, n in zip(out, within, strict=True)]
 
 
 def _extended(lines: list[Line], at: int, step: int) -> int:

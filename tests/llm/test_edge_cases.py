@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -377,6 +378,27 @@ def test_lines_of_parts_with_names():
     assert line_blocks.main_text(f"<div>{held}</div>{sidebar}").split("\n") == want
 
 
+def test_lines_of_hostile_pages_take_linear_time():
+    """A megabyte of each; a scan of all open elements or of the rest of the page per tag would take hours."""
+    began = time.process_time()
+    for part in ("<div>", '<a "', "<a '\"", "<div class=promo>x", "<ul><li>", "</div>", "<table><tr><td>", "<!-", "</script ", "<"):
+        line_blocks.main_text(part * (1_000_000 // len(part) | 1))
+    assert time.process_time() - began < 60
+    assert line_blocks.main_text('<p>one <a "two') == 'one <a "two' and line_blocks.main_text("<p>a<b title='>'>b</b><p>c") == "ab\nc"
+
+
+def test_window_sums_against_brute_force():
+    """Surge and dive by sums over every window, on pages of plain lines: the first and last that lie in a full one."""
+    rng = random.Random(14)
+    for _ in range(300):
+        sizes = [rng.choice((1, 5, 20, 28, 29, 40, 86, 200)) for _ in range(rng.randint(1, 12))]
+        # Each line is a container of its own, so that nothing extends the ends.
+        page = "".join(f"<div>{chr(97 + i) * n}</div>" for i, n in enumerate(sizes))
+        full = [i for i in range(len(sizes)) if sum(sizes[i : i + line_blocks.LINES]) >= line_blocks.SURGE or sum(sizes[max(0, i - line_blocks.LINES + 1) : i + 1]) >= line_blocks.SURGE]
+        first, last = (full[0], full[-1]) if full else (0, len(sizes) - 1)
+        assert line_blocks.main_text(page).split("\n") == [chr(97 + i) * sizes[i] for i in range(first, last + 1)]
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
