@@ -1,7 +1,8 @@
 """Matching items to branches by identifier, exact title or title prefix.
 
-A prefix test becomes an equi-join: both sides are cut to the lengths that can match and joined on the
-cut text, so no nested-loop join is planned however many titles there are.
+Titles and candidates meet in text order (``operators/prefixes.py``), one row per text. Where all pairs are needed,
+for the few titles on block-lists and for locations, both sides are cut to the lengths that can match and joined on
+the cut text. No nested-loop join is planned however many titles there are.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.text import clean, normalize_match_text, normalize_text, nz
 from reviewmill.operators.dedup import last_per_key
+from reviewmill.operators.prefixes import nearest_names
 from reviewmill.session import cut_lineage
 
 Normalizer = Callable[[Column | str], Column]
@@ -66,45 +68,43 @@ def _longest(candidates: DataFrame) -> Column:
     return candidates.select(F.coalesce(F.max(F.length("candidate")), F.lit(1))).scalar()
 
 
+def _listed_matches(titles: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """All allowed (``title``, ``tier``, ``branch_ord``) of the titles on block-lists.
+
+    Candidates are cut only to lengths that such a title has.
+    """
+    lengths = titles.select(F.coalesce(F.collect_set(F.length("title")), F.array().cast("array<int>"))).scalar()
+    cuts = candidates.withColumn("cut", F.explode(lengths)).where("cut <= length(candidate)")
+    heads = cuts.select("branch_ord", F.expr("substring(candidate, 1, cut)").alias("title"))
+    exact = titles.join(candidates.withColumnRenamed("candidate", "title"), "title")
+    longer = _with_prefixes(titles, "title", "candidate", _longest(candidates)).join(candidates, "candidate")
+    shorter = titles.join(heads, "title")
+    tiers = [(exact, 1), (longer, 2), (shorter, 2)]
+    pairs = reduce(
+        DataFrame.unionByName, [rows.select("title", F.lit(tier).alias("tier"), "branch_ord") for rows, tier in tiers]
+    )
+    return pairs.join(blocks, ["title", "branch_ord"], "left_anti")
+
+
 def title_branches(titles: DataFrame, branches: DataFrame, normalizer: Normalizer, use_blocks: bool) -> DataFrame:
     """Distinct normalised titles (``title``) to the branch they name (``branch_ord``).
 
     An exact match beats every prefix match; inside a tier the first configured branch wins. Candidates
-    are reduced to the first branch per text before the join, so a short title shared by many branches
-    produces one row. Titles on a block-list (few) keep their pairs, less the blocked ones.
+    are reduced to the first branch per text before they meet the titles in text order, so a title costs one
+    row whatever its length. Titles on a block-list (few) keep their pairs, less the blocked ones.
     """
     candidates = branch_candidates(branches, normalizer)
-    heads = _with_prefixes(candidates, "candidate", "head").select("branch_ord", "head")
-    longest = _longest(candidates)
-
-    def matches(some: DataFrame, whole: DataFrame, cut: DataFrame) -> DataFrame:
-        exact = some.join(whole, some["title"] == whole["candidate"]).select(
-            "title", F.lit(1).alias("tier"), "branch_ord"
-        )
-        title_longer = (
-            _with_prefixes(some.select("title"), "title", "candidate", longest)
-            .join(whole, "candidate")
-            .select("title", F.lit(2).alias("tier"), "branch_ord")
-        )
-        title_shorter = some.join(cut, some["title"] == cut["head"]).select(
-            "title", F.lit(2).alias("tier"), "branch_ord"
-        )
-        return reduce(DataFrame.unionByName, [exact, title_longer, title_shorter])
-
     first_whole = candidates.groupBy("candidate").agg(F.min("branch_ord").alias("branch_ord"))
-    first_cut = heads.groupBy("head").agg(F.min("branch_ord").alias("branch_ord"))
-    if use_blocks:
-        blocks = blocked_titles(branches)
-        listed = blocks.select("title").distinct()
-        free = titles.join(listed, "title", "left_anti")
-        held = titles.join(listed, "title", "left_semi")
-        pairs = matches(held, candidates, heads)
-        pairs = pairs.join(blocks, ["title", "branch_ord"], "left_anti")
-        found = matches(free, first_whole, first_cut).unionByName(pairs)
+    if not use_blocks:
+        found = nearest_names(titles, first_whole)
     else:
-        found = matches(titles, first_whole, first_cut)
-    best = found.groupBy("title").agg(F.min(F.struct("tier", "branch_ord")).alias("best"))
-    return best.select("title", F.col("best.tier").alias("title_tier"), F.col("best.branch_ord").alias("title_ord"))
+        blocks = cut_lineage(blocked_titles(branches))
+        listed = blocks.select("title").distinct()
+        free = nearest_names(titles.join(listed, "title", "left_anti"), first_whole)
+        pairs = _listed_matches(titles.join(listed, "title", "left_semi"), candidates, blocks)
+        best = pairs.groupBy("title").agg(F.min(F.struct("tier", "branch_ord")).alias("best"))
+        found = free.unionByName(best.select("title", "best.*"))
+    return found.select("title", F.col("tier").alias("title_tier"), F.col("branch_ord").alias("title_ord"))
 
 
 def match_branches(
@@ -126,13 +126,14 @@ def match_branches(
         .withColumn("m_cid", nz(clean("cid")))
         .withColumn("m_title", nz(normalizer("title")))
     )
-    titles = cut_lineage(keyed.where("m_title is not null").select(F.col("m_title").alias("title")).distinct())
-    named = cut_lineage(title_branches(titles, branches, normalizer, use_blocks))
-    joined = (
-        keyed.join(lookup("placeId", "m_place", "place_ord"), "m_place", "left")
-        .join(lookup("cid", "m_cid", "cid_ord"), "m_cid", "left")
-        .join(named.withColumnRenamed("title", "m_title"), "m_title", "left")
+    known = keyed.join(lookup("placeId", "m_place", "place_ord"), "m_place", "left").join(
+        lookup("cid", "m_cid", "cid_ord"), "m_cid", "left"
     )
+    # Only titles of items that no identifier settles are looked up.
+    asked = known.where("place_ord is null and cid_ord is null and m_title is not null")
+    titles = cut_lineage(asked.select(F.col("m_title").alias("title")).distinct())
+    named = cut_lineage(title_branches(titles, branches, normalizer, use_blocks))
+    joined = known.join(named.withColumnRenamed("title", "m_title"), "m_title", "left")
     tier = (
         F.when(F.col("place_ord").isNotNull(), 1)
         .when(F.col("cid_ord").isNotNull(), 2)
