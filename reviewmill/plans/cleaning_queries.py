@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions import numbers, text
 from reviewmill.functions.dates import normalize_date
 from reviewmill.operators import branches as dim
+from reviewmill.operators import normalize as normalizers
 from reviewmill.operators.normalize import normalize_paged
 from reviewmill.plans.binding import (
     FETCHED_AT,
@@ -18,7 +19,7 @@ from reviewmill.plans.binding import (
     review_rows,
     table,
 )
-from reviewmill.plans.jobs import normalize_batch
+from reviewmill.plans.jobs import matched_items
 from reviewmill.plans.oracle import match_norm, norm, with_branches, with_reviews
 from reviewmill.plans.registry import query
 from reviewmill.schemas import ADDITIONS, BRANCH_CONFIG, LOCATION, REMOVALS, REVIEW_FIELDS
@@ -375,7 +376,7 @@ dated as (
 )
 def normalize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scraped items matched to branches and brought to the canonical record."""
-    reviews, _ = normalize_batch(raw_items(spark, sf_dir), branch_dim(spark, sf_dir), FETCHED_AT)
+    reviews = normalizers.normalize_items(matched_items(raw_items(spark, sf_dir), branch_dim(spark, sf_dir)), FETCHED_AT)
     return reviews.select(
         "item_ord", F.col("branchId").alias("branch_id"), "id", F.col("branchName").alias("branch_name"),
         F.col("reviewerName").alias("reviewer"), F.col("reviewerReviewCount").cast("bigint").alias("reviews_written"),
@@ -399,7 +400,7 @@ def normalize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).replace("4.46 as rating", "4.46::double as rating"),
 )
 def branch_updates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, updates = normalize_batch(raw_items(spark, sf_dir), branch_dim(spark, sf_dir), FETCHED_AT)
+    updates = normalizers.branch_updates(matched_items(raw_items(spark, sf_dir), branch_dim(spark, sf_dir)))
     return updates.select(
         F.col("branchId").alias("branch_id"),
         F.col("currentReviewsCount").alias("review_count"),

@@ -187,6 +187,7 @@ def build_full(
         "imageUrl",
     )
     matched = branch_match_summary(selected, reviews)
+    listed = F.array_sort(F.collect_list(F.struct("branch_ord", "id", "matchedReviews")))
     meta = _meta(
         reviews,
         mode=_text("preview" if preview else "live"),
@@ -198,17 +199,20 @@ def build_full(
         sampled=F.lit(bool(max_reviews)),
         maxReviewsPerBranch=F.lit(max_reviews).cast("int"),
     ).join(
-        matched.agg(
-            F.array_sort(F.collect_list(F.struct("id", "matchedReviews"))).alias("branchMatchSummary"),
-            F.array_sort(F.collect_list(F.when(F.col("matchedReviews") == 0, F.col("id")))).alias("missingBranchIds"),
+        matched.agg(listed.alias("listed")).select(
+            F.transform("listed", lambda b: F.struct(b["id"].alias("id"), b["matchedReviews"].alias("matchedReviews"))).alias("branchMatchSummary"),
+            F.transform(F.filter("listed", lambda b: b["matchedReviews"] == 0), lambda b: b["id"]).alias("missingBranchIds"),
+            F.transform("listed", lambda b: b["id"]).alias("selectedBranchIds"),
         )
     )
     return Dataset(reviews, published, meta)
 
 
 def branch_match_summary(selected: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Reviews per selected branch, with its configured position."""
     counts = branch_counts(reviews).withColumnRenamed("branchId", "id")
-    return selected.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("matchedReviews"))
+    rows = selected.select("branch_ord", "id").join(counts, "id", "left")
+    return rows.select("branch_ord", "id", F.coalesce("n", F.lit(0)).alias("matchedReviews"))
 
 
 def full_sync(
@@ -233,10 +237,15 @@ def full_sync(
     return dataset
 
 
+def matched_items(items: DataFrame, selected: DataFrame) -> DataFrame:
+    """Landed items that belong to a branch, with its ``b_`` columns."""
+    return attach_branch(match_branches(items, selected).where("branch_ord is not null"), selected)
+
+
 def normalize_batch(items: DataFrame, selected: DataFrame, fetched_at: str) -> tuple[DataFrame, DataFrame]:
-    """Landed items to (reviews, branch updates)."""
-    matched = attach_branch(match_branches(items, selected).where("branch_ord is not null"), selected)
-    return normalize_items(matched, fetched_at), branch_updates(matched)
+    """Landed items to (reviews, branch updates). Both come from one saved match, so items are matched once."""
+    matched = cut_lineage(matched_items(items, selected))
+    return cut_lineage(normalize_items(matched, fetched_at)), cut_lineage(branch_updates(matched))
 
 
 def check_batch(reviews: DataFrame, selected: DataFrame) -> None:
@@ -335,7 +344,6 @@ def incremental_sync(
     """Land, normalise, match, check, merge with a given dataset, check again, publish it whole."""
     _check_run(configured, selected, items, max_reviews, mode, preview, explicit_selection)
     reviews, updates = normalize_batch(items, selected, generated_at)
-    reviews, updates = cut_lineage(reviews), cut_lineage(updates)
     check_batch(reviews, selected)
     keys = removal_keys(removals)
     incoming = stamp_order(reviews, INCOMING, F.col("item_ord")).drop("item_ord")
@@ -372,7 +380,6 @@ def incremental_publish(
     base = base or latest(spark, root)
     _check_run(configured, selected, items, max_reviews, mode, preview, explicit_selection)
     reviews, updates = normalize_batch(items, selected, generated_at)
-    reviews, updates = cut_lineage(reviews), cut_lineage(updates)
     check_batch(reviews, selected)
     keys = removal_keys(removals)
     incoming = stamp_order(reviews, INCOMING, F.col("item_ord")).drop("item_ord")

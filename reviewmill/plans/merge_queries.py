@@ -294,6 +294,26 @@ def full_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "sync_meta",
+    with_branches(
+        """select b.id as branch_id, row_number() over (order by b.branch_ord) as position, coalesce(l.n, 0) as matched_reviews,
+          l.n is null as missing, (select count(*) from last_paged) as review_count
+        from branch_dim b left join (select branch_id, count(*) as n from last_paged group by 1) l on l.branch_id = b.id""",
+        PAGES_SQL,
+        "last_paged as (select * from paged qualify row_number() over (partition by branch_id, id order by page_no desc) = 1)",
+    ),
+)
+def sync_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run data of a full sync: the selected branches in configured order, what each matched, which have nothing."""
+    meta = jobs.build_full(branch_dim(spark, sf_dir), review_pages(spark, sf_dir), FETCHED_AT, False, None).meta
+    rows = meta.select("reviewCount", "branchMatchSummary", "missingBranchIds", F.posexplode("selectedBranchIds").alias("at", "branch_id"))
+    return rows.select(
+        "branch_id", (F.col("at") + 1).cast("bigint").alias("position"), F.col("branchMatchSummary")[F.col("at")]["matchedReviews"].alias("matched_reviews"),
+        F.array_contains("missingBranchIds", F.col("branch_id")).alias("missing"), F.col("reviewCount").alias("review_count"),
+    )
+
+
 @query(
     "branch_enrich",
     with_reviews(

@@ -144,6 +144,9 @@ def test_full_sync(spark, tmp_path, base):
     assert rows == {"north::1": (5, "later", "ok"), "south::1": (2, "", ""), "south::2": (4, "", "")}
     figures = {r["id"]: (r["currentReviewsCount"], r["currentRating"]) for r in result.branches.collect()}
     assert figures == {"north": (9, 4.4), "south": (2, 3.0)}
+    meta = result.meta.first()
+    assert meta["selectedBranchIds"] == ["north", "south"] and meta["missingBranchIds"] == []
+    assert [(b["id"], b["matchedReviews"]) for b in meta["branchMatchSummary"]] == [("north", 1), ("south", 2)]
     with pytest.raises(quality.CheckFailed, match="capped run"):
         jobs.full_sync(spark, configured, configured, read, str(tmp_path / "out"), "x", max_reviews=1)
 
