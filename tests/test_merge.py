@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewmill.operators import links, sieve
 from reviewmill.operators.merge import INCOMING, STORED, merge_incremental, merge_manual, stamp_order
 from reviewmill.schemas import REVIEW, REVIEW_FIELDS
 from reviewmill.sources.documents import with_review_columns
@@ -92,3 +93,18 @@ def test_removals_win_over_stored_and_new_rows(spark):
     stored, new = [review(id="1", comment="x"), review(id="2", comment="y")], [review(id="1", comment="z")]
     got = merge_incremental(frame(spark, stored, STORED), frame(spark, new, INCOMING), gone).collect()
     assert [r["id"] for r in got] == ["2"]
+
+
+def test_only_rows_that_may_meet_are_written_and_joined(spark, monkeypatch):
+    sizes, keep = [], links.cut_lineage
+    monkeypatch.setattr(links, "cut_lineage", lambda df: (sizes.append(df.count()), keep(df))[1])
+    rows = [review(id=str(i), reviewerName=f"r{i}") for i in range(300)] + [review(id="x", reviewerName="r1")]
+    parts = links.components(frame(spark, rows, STORED)).collect()
+    assert sorted(p.reviewKey for p in parts) == ["a::1", "a::x"] and max(sizes) < 20
+
+
+def test_sieve_loses_and_keeps_what_an_anti_join_does(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([None, "a", "b", "b", "c", ""] * 3)], "reviewKey string, n int")
+    keys = spark.createDataFrame([(None,), ("b",), ("z",)], "reviewKey string").distinct()
+    got = sieve.without(rows, keys, "reviewKey")
+    assert sorted(r.n for r in got.collect()) == sorted(r.n for r in rows.join(keys, "reviewKey", "left_anti").collect())
