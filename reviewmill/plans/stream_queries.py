@@ -51,16 +51,15 @@ def stream_incremental_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from (select * from rows qualify row_number() over (partition by branch_id, user_id, cast(ts as date), rating order by event_id % 3, event_id) = 1)""",
 )
 def stream_three_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events landed in three files, each merged into what is published by touching what it can change; ``place`` is the stored order."""
-    folder, root = scratch_path(spark, "landed"), scratch_path(spark, "stream-table")
+    """Events landed three times, each landing merged into what is published by touching what it can change; ``place`` is the stored order."""
+    folder, root, state = scratch_path(spark, "landed"), scratch_path(spark, "stream-table"), scratch_path(spark, "stream-state")
     events = table(spark, sf_dir, "events")
+    stamped = lambda batch: stamp_order(event_reviews(batch), INCOMING, F.col("event_id")).drop("event_id")
     for part in range(3):
         events.where(F.col("event_id") % 3 == part).write.parquet(f"{folder}/{part}")
-    # The order in which files were landed is the order of the batches.
-    landed = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
-    stamped = lambda batch: stamp_order(event_reviews(batch), INCOMING, F.col("event_id")).drop("event_id")
-    files = landed.option("pathGlobFilter", "*.parquet").parquet(folder)
-    stream_incremental(files, stamped, root, scratch_path(spark, "stream-state")).awaitTermination()
+        # What was landed since the last run is one batch, in however many files.
+        landed = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        stream_incremental(landed.parquet(folder), stamped, root, state).awaitTermination()
     reviews = read_table(spark, root, "reviews")
     return numbered(reviews).select(
         F.col("reviewKey").alias("review_key"), F.col("branchId").alias("branch_id"), F.col("rating").cast("bigint").alias("rating"),

@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from reviewmill.plans import stream_queries
 from reviewmill.streaming.incremental import stream_incremental
 from reviewmill.streaming.weekly import add_batch, all_weeks, stream_weekly, weekly_counts
 
@@ -61,3 +62,15 @@ def test_batch_that_runs_again_adds_nothing(spark, tmp_path):
     for batch in (0, 1, 1, 0):
         add_batch(spark, root, counts, "s", batch)
     assert all_weeks(spark, root).first().n == 2
+
+
+def test_three_landings_are_three_batches_in_any_number_of_files(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr("reviewmill.streaming.incremental.merge_batch", lambda *a: seen.append((a[2], a[1].count())))
+    monkeypatch.setattr("reviewmill.plans.stream_queries.read_table", lambda spark, root, name: spark.createDataFrame([], "x int"))
+    monkeypatch.setattr("reviewmill.plans.stream_queries.numbered", lambda rows: rows.selectExpr("x reviewKey", "x branchId", "x rating", "x publishedAt", "x place"))
+    rows = [(i, datetime(2024, 1, 1 + i % 5), i % 7, "click", 1.0, '{"k": 3}') for i in range(60)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    stream_queries.stream_three_batches(spark, str(tmp_path))
+    assert seen == [(0, 20), (1, 20), (2, 20)]
