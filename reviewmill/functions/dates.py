@@ -12,16 +12,17 @@ from reviewmill.functions.text import clean, col, nz
 # Fixed value: business zone used when a dataset names none.
 DEFAULT_ZONE = "Africa/Johannesburg"
 
-# Accepted layouts of hand-typed dates. The first two carry an offset.
-OFFSET_LAYOUTS = ("yyyy-M-d'T'H:m:sXXX", "yyyy-M-d'T'H:m:sXX")
-PLAIN_LAYOUTS = (
-    "yyyy-M-d H:m",
-    "yyyy-M-d",
-    "d/M/yyyy",
-    "d/M/yyyy H:m",
-    "d MMM yyyy",
-    "d MMM yyyy H:m",
-)
+# Accepted layouts of hand-typed dates, each with what a text of the layout holds and what it can't hold.
+# A layout is tried only on such texts, as a failed try costs an exception.
+OFFSET_LAYOUTS = {"yyyy-M-d'T'H:m:sXXX": ("[tT]", None), "yyyy-M-d'T'H:m:sXX": ("[tT]", None)}
+PLAIN_LAYOUTS = {
+    "yyyy-M-d H:m": ("-[^:]*:", "/"),
+    "yyyy-M-d": ("-", "[:/]"),
+    "d/M/yyyy": ("/", ":"),
+    "d/M/yyyy H:m": ("/[^:]*:", None),
+    "d MMM yyyy": ("[^0-9 ]", "[:/]"),
+    "d MMM yyyy H:m": ("[^0-9 :].*:", "/"),
+}
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 # Texts up to this length hold no time of day and are placed at noon.
@@ -37,11 +38,18 @@ def instant(as_of: datetime | Column) -> Column:
     return F.lit(as_of)
 
 
+def _fits(text: Column, holds: str, lacks: str | None) -> Column:
+    return text.rlike(holds) if lacks is None else text.rlike(holds) & ~text.rlike(lacks)
+
+
 def parse_typed_date(c: Column | str) -> Column:
     """Hand-typed date to a UTC timestamp; null when unreadable."""
     text = clean(c)
-    with_offset = F.coalesce(*[F.try_to_timestamp(text, F.lit(x)) for x in OFFSET_LAYOUTS])
-    plain = F.coalesce(*[F.try_to_timestamp(text, F.lit(x)) for x in PLAIN_LAYOUTS])
+
+    def tried(layouts: dict[str, tuple[str, str | None]]) -> Column:
+        return F.coalesce(*[F.when(_fits(text, *marks), F.try_to_timestamp(text, F.lit(x))) for x, marks in layouts.items()])
+
+    with_offset, plain = tried(OFFSET_LAYOUTS), tried(PLAIN_LAYOUTS)
     noon = F.date_trunc("day", plain) + F.expr("interval 12 hours")
     return F.coalesce(with_offset, F.when(F.length(text) <= DATE_ONLY_LENGTH, noon).otherwise(plain))
 

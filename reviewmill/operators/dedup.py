@@ -55,7 +55,8 @@ def mark_repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
     marked = cut_lineage(spread.mapInArrow(work, schema))
     # One row per task; tasks are in the order of the keys.
     bounds = marked.groupBy("_task").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    carried = bounds.select("_task", F.lag("_last").over(Window.orderBy("_task")).alias("_carried"))
+    # Written out, so that it is known to be small and the rows are not shuffled for it.
+    carried = cut_lineage(bounds.select("_task", F.lag("_last").over(Window.orderBy("_task")).alias("_carried")))
     repeated = F.col("_follows") | F.coalesce(F.col(key) == F.col("_carried"), F.lit(False))
     return marked.join(carried, "_task").withColumn("repeated", repeated).drop("_task", "_follows", "_carried")
 

@@ -26,6 +26,9 @@ from reviewmill.schemas import ADDITIONS, BRANCH_CONFIG, LOCATION, REMOVALS, REV
 from reviewmill.session import scratch_path
 from reviewmill.sources import csv_inputs, documents, landed
 
+#: Rows of a compressed file of JSON lines.
+SHARD_ROWS = 250_000
+
 # --- text and number parsing ------------------------------------------------------------------------------
 
 
@@ -155,7 +158,8 @@ def scan_dataset_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("branch_ord", *BRANCH_CONFIG.fieldNames()))).alias("branches")
     )
     head = listed.select(F.to_json(F.struct("branches")).alias("value"))
-    shards.unionByName(head).write.text(path)
+    # Compressed shards can't be split, so a file holds a bounded number of them.
+    shards.unionByName(head).write.option("maxRecordsPerFile", SHARD_ROWS).text(path, compression="gzip")
     docs = documents.read_documents(spark, path, shards=True)
     held = documents.document_reviews(docs).groupBy("branchId").agg(
         F.count(F.lit(1)).alias("n"),
@@ -443,7 +447,7 @@ paged as (
 def explode_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as JSON lines, read back, exploded and totalled."""
     path = scratch_path(spark, "pages")
-    review_pages(spark, sf_dir).write.json(path)
+    review_pages(spark, sf_dir).write.option("maxRecordsPerFile", SHARD_ROWS).json(path, compression="gzip")
     pages = landed.read_pages(spark, path, lines=True)
     items = landed.explode_pages(pages).groupBy(F.col("branch_id").alias("branchId")).agg(
         F.count_if(F.col("item.reviewId").isNotNull()).alias("with_id")

@@ -1,6 +1,8 @@
 """Literal cases for parsing, rounding, estimates and display."""
 
+import operator
 from datetime import datetime
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +110,18 @@ def test_synthetic_id(spark):
 
     want = "manual-" + hashlib.sha1("b|Ann|5|2026-01-01T12:00:00Z|fine".encode()).hexdigest()[:16]
     assert one(spark, text.synthetic_id("manual-", F.lit("b"), F.lit("Ann"), F.lit(5), F.lit("2026-01-01T12:00:00Z"), F.lit(" fine\n"))) == want
+
+
+def test_a_date_layout_is_tried_only_on_texts_it_can_fit(spark):
+    """Failed tries cost an exception each; as many layouts were tried on every text."""
+    texts = {
+        "2026-01-02": "2026-01-02T12:00:00Z", "2026-1-2 3:04": "2026-01-02T03:04:00Z", "2/1/2026": "2026-01-02T12:00:00Z",
+        "2/1/2026 3:04": "2026-01-02T03:04:00Z", "2 Jan 2026": "2026-01-02T12:00:00Z", "12 sep 2026 03:04": "2026-09-12T03:04:00Z",
+        "2026-1-2T3:4:5+01:00": "2026-01-02T02:04:05Z", "2026-1-2t3:4:5Z": "2026-01-02T03:04:05Z", "2026-1-2T3:4:5+0100": "2026-01-02T02:04:05Z",
+        "soon": None, "31/4/2026": None, "": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.d for r in rows.select("t", dates.normalize_date("t").alias("d")).collect()} == texts
+    fits = [dates._fits(F.col("t"), *marks).cast("int") for marks in (dates.OFFSET_LAYOUTS | dates.PLAIN_LAYOUTS).values()]
+    tried = {r.t: r.n for r in rows.select("t", reduce(operator.add, fits).alias("n")).collect()}
+    assert tried["2026-01-02"] <= 2 and tried["2/1/2026"] <= 2 and tried["soon"] <= 2
