@@ -13,6 +13,9 @@ STAR_WORDS = {"ONE": 1, "TWO": 2, "THREE": 3, "FOUR": 4, "FIVE": 5}
 # Words read as true in the additions file.
 TRUE_WORDS = ("1", "true", "yes", "y")
 
+# How every text begins that reads as a number; a cast of any other costs an exception and gives null as well.
+_NUMBER_START = r"^[\x00-\x20]*[-+]?(\.?[0-9]|[iI][nN][fF]|[nN][aA][nN])"
+
 # Fixed value: from this rating on no further lift is estimated.
 NEAR_PERFECT = 4.95
 
@@ -49,8 +52,8 @@ def optional_bool(c: Column | str) -> Column:
 
 
 def first_number(*cs: Column | str) -> Column:
-    """First value that parses as a number, 0.0 when none does. A parsed 0 wins over a later 4."""
-    return F.coalesce(*[col(c).try_cast("double") for c in cs], F.lit(0.0))
+    """First value of texts or numbers that parses as a number, 0.0 when none does. A parsed 0 wins over a later 4."""
+    return F.coalesce(*[F.when(col(c).rlike(_NUMBER_START), col(c).try_cast("double")) for c in cs], F.lit(0.0))
 
 
 def to_int(c: Column) -> Column:

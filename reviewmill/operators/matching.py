@@ -108,11 +108,16 @@ def title_branches(titles: DataFrame, branches: DataFrame, normalizer: Normalize
 
 
 def match_branches(
-    items: DataFrame, branches: DataFrame, normalizer: Normalizer = normalize_text, use_blocks: bool = True
+    items: DataFrame,
+    branches: DataFrame,
+    normalizer: Normalizer = normalize_text,
+    use_blocks: bool = True,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Items with ``branch_ord`` and ``match_tier`` (1 place, 2 cid, 3 exact title, 4 prefix); null when none.
 
-    Block-lists only bar title matches, never identifier matches.
+    Block-lists only bar title matches, never identifier matches. ``names`` holds at least the ``placeId``, ``cid`` and
+    ``title`` of all items, where these can be read with fewer joins than whole items; titles are collected from it.
     """
     # The lookups are written out first: planned on their real size they are broadcast while they are
     # small, and the items need no shuffle.
@@ -121,16 +126,20 @@ def match_branches(
     def lookup(kind: str, key: str, name: str) -> DataFrame:
         return tokens.where(F.col("kind") == kind).select(F.col("token").alias(key), F.col("branch_ord").alias(name))
 
-    keyed = (
-        items.withColumn("m_place", nz(clean("placeId")))
-        .withColumn("m_cid", nz(clean("cid")))
-        .withColumn("m_title", nz(normalizer("title")))
-    )
-    known = keyed.join(lookup("placeId", "m_place", "place_ord"), "m_place", "left").join(
-        lookup("cid", "m_cid", "cid_ord"), "m_cid", "left"
-    )
+    def looked_up(rows: DataFrame) -> DataFrame:
+        keyed = (
+            rows.withColumn("m_place", nz(clean("placeId")))
+            .withColumn("m_cid", nz(clean("cid")))
+            .withColumn("m_title", nz(normalizer("title")))
+        )
+        return keyed.join(lookup("placeId", "m_place", "place_ord"), "m_place", "left").join(
+            lookup("cid", "m_cid", "cid_ord"), "m_cid", "left"
+        )
+
+    known = looked_up(items)
     # Only titles of items that no identifier settles are looked up.
-    asked = known.where("place_ord is null and cid_ord is null and m_title is not null")
+    listed = known if names is None else looked_up(names)
+    asked = listed.where("place_ord is null and cid_ord is null and m_title is not null")
     titles = cut_lineage(asked.select(F.col("m_title").alias("title")).distinct())
     named = cut_lineage(title_branches(titles, branches, normalizer, use_blocks))
     joined = known.join(named.withColumnRenamed("title", "m_title"), "m_title", "left")

@@ -163,6 +163,12 @@ def _position():
     return (line * 100_000 + (F.col("l_partkey") % 10_000) * 10 + F.col("l_suppkey") % 10).cast("bigint")
 
 
+def _item_ids():
+    """Place and listing id of scraped items."""
+    k, nation = F.col("l_partkey"), F.col("s_nationkey").cast("string")
+    return F.when(k % 3 == 0, F.concat(F.lit(" P"), nation)), F.when(k % 3 == 1, F.concat(F.lit("C"), nation))
+
+
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scraped items."""
     rows = table(spark, sf_dir, "lineitem")
@@ -175,6 +181,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, rows["l_partkey"] == part["p_partkey"])
     )
     nation = F.col("s_nationkey").cast("string")
+    place, cid = _item_ids()
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("l_partkey") % 1440).cast("int"))
     date = iso_utc((F.col("o_orderdate") + minutes).cast("timestamp"))
     k = F.col("l_partkey")
@@ -199,8 +206,8 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, "de").alias("originalLanguage"),
         F.lit("en").alias("language"),
         none.alias("translatedLanguage"),
-        F.when(k % 3 == 0, F.concat(F.lit(" P"), nation)).alias("placeId"),
-        F.when(k % 3 == 1, F.concat(F.lit("C"), nation)).alias("cid"),
+        place.alias("placeId"),
+        cid.alias("cid"),
         none.alias("fid"),
         F.when(k % 6 == 0, F.concat(F.lit("https://place.example/"), nation)).alias("url"),
         _title().alias("title"),
@@ -215,6 +222,15 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scraped items are matched by; orders and parts add nothing to it, so they aren't joined."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    place, cid = _item_ids()
+    rows = rows.join(supplier, rows["l_suppkey"] == supplier["s_suppkey"])
+    return rows.select(place.alias("placeId"), cid.alias("cid"), _title().alias("title"))
+
+
 def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as review pages of the customer's branch, one item per page.
 

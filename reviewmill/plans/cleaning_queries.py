@@ -14,6 +14,7 @@ from reviewmill.plans.binding import (
     FETCHED_AT,
     branch_dim,
     canonical_reviews,
+    item_names,
     raw_items,
     review_pages,
     review_rows,
@@ -380,7 +381,8 @@ dated as (
 )
 def normalize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scraped items matched to branches and brought to the canonical record."""
-    reviews = normalizers.normalize_items(matched_items(raw_items(spark, sf_dir), branch_dim(spark, sf_dir)), FETCHED_AT)
+    items, names = raw_items(spark, sf_dir), item_names(spark, sf_dir)
+    reviews = normalizers.normalize_items(matched_items(items, branch_dim(spark, sf_dir), names), FETCHED_AT)
     return reviews.select(
         "item_ord", F.col("branchId").alias("branch_id"), "id", F.col("branchName").alias("branch_name"),
         F.col("reviewerName").alias("reviewer"), F.col("reviewerReviewCount").cast("bigint").alias("reviews_written"),
@@ -404,7 +406,8 @@ def normalize_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).replace("4.46 as rating", "4.46::double as rating"),
 )
 def branch_updates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = normalizers.branch_updates(matched_items(raw_items(spark, sf_dir), branch_dim(spark, sf_dir)))
+    items, names = raw_items(spark, sf_dir), item_names(spark, sf_dir)
+    updates = normalizers.branch_updates(matched_items(items, branch_dim(spark, sf_dir), names))
     return updates.select(
         F.col("branchId").alias("branch_id"),
         F.col("currentReviewsCount").alias("review_count"),

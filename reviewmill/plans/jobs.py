@@ -237,9 +237,9 @@ def full_sync(
     return dataset
 
 
-def matched_items(items: DataFrame, selected: DataFrame) -> DataFrame:
-    """Landed items that belong to a branch, with its ``b_`` columns."""
-    return attach_branch(match_branches(items, selected).where("branch_ord is not null"), selected)
+def matched_items(items: DataFrame, selected: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Landed items that belong to a branch, with its ``b_`` columns; for ``names`` see :func:`match_branches`."""
+    return attach_branch(match_branches(items, selected, names=names).where("branch_ord is not null"), selected)
 
 
 def normalize_batch(items: DataFrame, selected: DataFrame, fetched_at: str) -> tuple[DataFrame, DataFrame]:

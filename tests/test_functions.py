@@ -49,6 +49,14 @@ def test_ratings_and_casts(spark):
     assert one(spark, numbers.first_number(F.lit("x"), F.lit("4"))) == 4.0
 
 
+def test_numbers_are_cast_only_where_they_can_be(spark):
+    texts = ["4", " 4.5 ", "\t-1e3", "+.5", "5.", "NaN", "inf", "-Infinity", "+infinity", "1.5f", "2d", "0x1p3", "n/a", "x", "", "- 1", ".", "info", "4 stars", None]
+    plain = evaluate(spark, texts, lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
+    assert repr(evaluate(spark, texts, numbers.first_number)) == repr(plain)
+    assert evaluate(spark, [4, -2, None], numbers.first_number, "int") == [4.0, -2.0, 0.0]
+    assert "RLIKE" in str(numbers.first_number("v")).upper()
+
+
 def test_text_normalisers(spark):
     assert evaluate(spark, ["  Tom & Co-Op\n Ltd ", "a_b É", None], text.normalize_text) == ["tom and co op ltd", "a_b é", ""]
     assert evaluate(spark, ["  Tom & Co-Op ", "a_b É!", None], text.normalize_match_text) == ["tom and co op", "a b", ""]

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.text import normalize_match_text
 from reviewmill.operators import matching, metrics
+from reviewmill.plans import binding
 from reviewmill.schemas import BRANCH_CONFIG
 
 
@@ -85,3 +86,13 @@ def test_zero_ratings_count_as_one_star_but_not_in_the_mean(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 5), ("a", 4)], "branchId string, rating int")
     got = rows.groupBy("branchId").agg(*metrics.star_counts(), *metrics.total_measures()).first().asDict()
     assert (got["star_1"], got["star_5"], got["tracked"], got["rated"], got["rating_sum"]) == (1, 1, 3, 2, 9)
+
+
+def test_titles_come_from_the_given_names(spark, tmp_path):
+    """Only the two tables that names need exist, so a title pass over orders or parts would fail."""
+    spark.createDataFrame([(20, 1), (23, 1), (21, None)], "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 7)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    names = binding.item_names(spark, str(tmp_path))
+    assert sorted((r.placeId, r.cid, r.title) for r in names.collect()) == [(None, None, "Nation_7"), (None, None, "nat")]
+    dim = branches(spark, {"id": "a", "name": "Nation_7"})
+    assert match(spark, dim, [(None, None, "nation_7"), (None, None, "nation_7 east")], names=names) == [(0, 3), (None, None)]
