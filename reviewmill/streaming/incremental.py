@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewmill.operators.delta import merge_delta
-from reviewmill.session import cut_lineage
 from reviewmill.sources.sinks import latest, publish
 
 Check = Callable[[DataFrame, DataFrame], None]
@@ -75,8 +74,7 @@ def stream_incremental(
     """Reviews only. ``to_reviews`` turns a batch into stamped reviews."""
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read by several actions of the merge.
-        rows = cut_lineage(to_reviews(batch))
-        merge_batch(batch.sparkSession, rows, batch_id, root, removal_keys, check, stream_name(batch.sparkSession, checkpoint))
+        # The merge writes the batch before it reads it again.
+        merge_batch(batch.sparkSession, to_reviews(batch), batch_id, root, removal_keys, check, stream_name(batch.sparkSession, checkpoint))
 
     return start(landed, one_batch, checkpoint)
