@@ -193,6 +193,27 @@ def test_runs_against_brute_force(spark, monkeypatch, many):
     assert sorted((tuple(r) for r in got.collect()), key=str) == _kept(rows, 40)
 
 
+def test_runs_are_judged_by_bytes_not_words(spark):
+    rng = random.Random(11)
+
+    def words(size):
+        return " ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(4, 7))) for _ in range(200))[: size - 1] + "."
+
+    rows, want = [], {}
+    for group, size in enumerate([399, 400, 520]):
+        passage = words(size)
+        assert len(passage.split()) > 50
+        for copy in range(3):
+            doc = 10 * group + copy
+            rows.append((doc, "é" * copy + words(300) + "XYZ"[copy] + passage + "UVW"[copy] + words(300)))
+            want[doc] = (len(rows[-1][1].encode()), size if size >= 400 else 0, int(size >= 400))
+    for doc in range(50, 60):
+        rows.append((doc, "é" * (doc % 2) + words(900)))
+        want[doc] = (len(rows[-1][1].encode()), 0, 0)
+    got = run_index.remove_repeats(_frame(spark, rows), texts=False).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == want
+
+
 def test_pieces_of_a_long_text():
     rng = random.Random(1)
     text = "".join(rng.choice("abcd ") for _ in range(4000)).encode()
