@@ -108,3 +108,18 @@ def test_sieve_loses_and_keeps_what_an_anti_join_does(spark):
     keys = spark.createDataFrame([(None,), ("b",), ("z",)], "reviewKey string").distinct()
     got = sieve.without(rows, keys, "reviewKey")
     assert sorted(r.n for r in got.collect()) == sorted(r.n for r in rows.join(keys, "reviewKey", "left_anti").collect())
+
+
+def test_a_sieve_with_many_keys_lets_few_others_pass(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "WORDS", 64)
+    bits = sieve.sieve(spark.range(400).select(sieve.key_hash("id").alias("hash")))
+    passed = sieve.probe(spark.range(4400), bits, sieve.key_hash("id"), "maybe").where("maybe")
+    assert passed.where("id < 400").count() == 400 and passed.count() < 400 + 200
+
+
+def test_keys_and_signatures_of_rows_that_may_meet_have_a_sieve_each(spark, monkeypatch):
+    made, keep = [], links.sieve
+    monkeypatch.setattr(links, "sieve", lambda hashes: (made.append(hashes.count()), keep(hashes))[1])
+    rows = [review(id=str(i), reviewerName=f"r{i % 3}") for i in range(5)] + [review(id="1", reviewerName="r9")]
+    found = links.linkable(frame(spark, rows, STORED)).collect()
+    assert sorted(r.id for r in found) == ["0", "1", "1", "3", "4"] and made == [1, 2]
