@@ -44,7 +44,10 @@ def _fits(text: Column, holds: str, lacks: str | None) -> Column:
 
 def parse_typed_date(c: Column | str) -> Column:
     """Hand-typed date to a UTC timestamp; null when unreadable."""
-    text = clean(c)
+    return _parsed(clean(c))
+
+
+def _parsed(text: Column) -> Column:
 
     def tried(layouts: dict[str, tuple[str, str | None]]) -> Column:
         return F.coalesce(*[F.when(_fits(text, *marks), F.try_to_timestamp(text, F.lit(x))) for x, marks in layouts.items()])
@@ -60,7 +63,12 @@ def iso_utc(ts: Column | str) -> Column:
 
 def normalize_date(c: Column | str) -> Column:
     """Hand-typed date to an ISO-8601 UTC string; null when missing or unreadable."""
-    return F.when(clean(c) != "", iso_utc(parse_typed_date(c)))
+    return trimmed_date(clean(c))
+
+
+def trimmed_date(c: Column | str) -> Column:
+    """:func:`normalize_date` of a trimmed text; a date is tried in many layouts, so a column that was trimmed once is cheaper."""
+    return F.when(col(c) != "", iso_utc(_parsed(col(c))))
 
 
 def iso_timestamp(c: Column | str) -> Column:

@@ -16,13 +16,17 @@ TRUE_WORDS = ("1", "true", "yes", "y")
 # How every text begins that reads as a number; a cast of any other costs an exception and gives null as well.
 _NUMBER_START = r"^[\x00-\x20]*[-+]?(\.?[0-9]|[iI][nN][fF]|[nN][aA][nN])"
 
+# How every text looks that reads as a whole number, as above.
+_WHOLE_NUMBER = r"^[\x00-\x20\x7f]*[-+]?[0-9]+[\x00-\x20\x7f]*$"
+
 # Fixed value: from this rating on no further lift is estimated.
 NEAR_PERFECT = 4.95
 
 
 def whole_number(c: Column | str) -> Column:
     """Whole number after trimming, null when the text is anything else."""
-    return ws_trim(c).try_cast("bigint")
+    text = ws_trim(c)
+    return F.when(text.rlike(_WHOLE_NUMBER), text.try_cast("bigint"))
 
 
 def parse_rating(c: Column | str) -> Column:

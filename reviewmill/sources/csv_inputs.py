@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewmill.functions.dates import normalize_date
+from reviewmill.functions.dates import trimmed_date
 from reviewmill.functions.numbers import optional_bool, optional_int, parse_rating, whole_number
 from reviewmill.functions.text import (
     ANONYMOUS,
@@ -23,6 +23,7 @@ from reviewmill.functions.text import (
 )
 from reviewmill.operators.dedup import mark_repeats
 from reviewmill.schemas import ADDITIONS, REMOVALS
+from reviewmill.session import cut_lineage
 from reviewmill.sources.csv_records import read_records
 from reviewmill.sources.documents import with_review_columns
 
@@ -37,7 +38,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     names = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields)
     parsed = F.from_csv("text", names, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
     name = F.element_at(F.split("file", "/"), -1)
-    return records.select(parsed.alias("r"), "row_id", name.alias("file"), "row").select("r.*", "row_id", "file", "row")
+    # A generator parses a record once; a filter on fields of a plain column is moved below it and parses once per field.
+    return records.select(F.inline(F.array(parsed)), "row_id", name.alias("file"), "row")
 
 
 def _place(rows: DataFrame) -> list[str]:
@@ -47,7 +49,7 @@ def _place(rows: DataFrame) -> list[str]:
 
 def has_content(columns: list[str]) -> Column:
     """At least one column holds more than white space."""
-    return F.concat_ws("", *[clean(c) for c in columns]) != ""
+    return clean(F.concat_ws("", *columns)) != ""
 
 
 def removal_keys(removals: DataFrame) -> DataFrame:
@@ -103,20 +105,21 @@ def load_additions(
         F.col("base_fid"),
         first_nonempty("base_url", "mapsSearchUrl", "profileUrl").alias("b_url"),
     )
+    # Written out, so that it is known to be small and the additions are not shuffled for it.
+    dim = cut_lineage(dim)
     rows = (
         additions.where(has_content(ADDITIONS.fieldNames()))
-        .withColumn("branchId", clean("branch_id"))
+        .withColumns({"branchId": clean("branch_id"), "published_text": clean("published_at"), "response_date_text": clean("owner_response_date")})
         .join(dim, "branchId", "left")
     )
     rows = rows.select(
         "row_id", *_place(additions), "branchId", "branchName", "b_placeId", "b_cid", "base_fid", "b_url",
-        clean("rating").alias("rating_text"),
         whole_number("rating").alias("rating_whole"),
         parse_rating("rating").alias("rating"),
-        clean("published_at").alias("published_text"),
-        normalize_date("published_at").alias("publishedAt"),
-        clean("owner_response_date").alias("response_date_text"),
-        normalize_date("owner_response_date").alias("ownerResponseDate"),
+        "published_text",
+        trimmed_date("published_text").alias("publishedAt"),
+        "response_date_text",
+        trimmed_date("response_date_text").alias("ownerResponseDate"),
         first_nonempty(clean("reviewer_name"), F.lit(ANONYMOUS)).alias("reviewerName"),
         clean("comment").alias("comment"),
         clean("owner_response_text").alias("ownerResponseText"),
@@ -131,7 +134,6 @@ def load_additions(
     rows = rows.withColumn("id", first_nonempty("review_id", made_id)).withColumn(
         "reviewKey", F.concat("branchId", F.lit(KEY_SEPARATOR), "id")
     )
-    rows = mark_repeats(rows, "reviewKey", "row_id")
     error = (
         F.when(F.col("branchName").isNull(), "unknown branch_id")
         .when(F.col("rating_whole").isNull(), "rating must be a whole number from 1 to 5")
@@ -139,8 +141,11 @@ def load_additions(
         .when(F.col("published_text") == "", "published_at is required")
         .when(F.col("publishedAt").isNull(), "could not understand date")
         .when((F.col("response_date_text") != "") & F.col("ownerResponseDate").isNull(), "could not understand date")
-        .when(F.col("repeated"), "duplicate review_id")
     )
+    # Told before the rows are written, so the texts need not be.
+    rows = rows.withColumn("mistake", error).drop("rating_whole", "published_text", "response_date_text")
+    rows = mark_repeats(rows, "reviewKey", "row_id")
+    error = F.coalesce("mistake", F.when(F.col("repeated"), "duplicate review_id"))
     none = F.lit(None).cast("string")
     reviews = rows.select(
         "row_id", *_place(additions), "id", "branchId", "branchName", "reviewerName", "reviewerUrl",

@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,38 +26,62 @@ from pyspark.sql import functions as F
 from reviewmill.session import cut_lineage
 
 _BLOCK = "file string, block long, open_after boolean, open_after_open boolean, records long, records_open long"
-_PIECE = "file string, row long, block long, whole boolean, text string"
+_PIECE = "rank long, row long, block long, whole boolean, text string"
 #: From inside a quoted field to the quote that ends it.
-_QUOTED = re.compile(r'(?:[^"]|"")*"(?!")')
+_QUOTED = re.compile(r'[^"]*(?:""[^"]*)*"(?!")')
 
 
 def ends_open(line: str, is_open: bool) -> bool:
     """Whether a quoted field is open after a line that begins inside one, or at a record."""
     at = 0
+    if not is_open and line.startswith('"'):
+        at, is_open = 1, True
     while True:
         if is_open:
             found = _QUOTED.match(line, at)
             if not found:
                 return True
-            at, is_open = found.end(), False
-        elif at < len(line) and line[at] == '"':
-            at, is_open = at + 1, True
-            continue
-        comma = line.find(",", at)
-        if comma < 0:
-            return False
-        at = comma + 1
-        if at >= len(line):
+            at = found.end()
+        # Only a quote that begins a field opens one.
+        begins = line.find(',"', at)
+        if begins < 0:
             return False
+        at, is_open = begins + 2, True
+
 
+def _filled(lines: pa.Array) -> np.ndarray:
+    """Lines that aren't empty; an empty line outside of a field is no record."""
+    return ~pc.is_in(lines, value_set=pa.array(["", "\r"], lines.type)).to_numpy(zero_copy_only=False)
 
-def _blank(line: str) -> bool:
-    return line in ("", "\r")
 
+def _quoted(lines: pa.Array) -> tuple[list[int], list[str]]:
+    """Lines with quotes and where they stand; a line without any leaves a field open or closed as it was."""
+    held = pc.match_substring(lines, '"')
+    return np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist(), lines.filter(held).to_pylist()
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+
+def _runs(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[tuple[str | int, int, pa.RecordBatch]]:
+    """File, block and the lines of it that stand together in a batch; ``file`` is the column that tells files apart."""
     for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+        if batch.num_rows:
+            files = batch.column(file).dictionary_encode()
+            named, blocks = files.indices.to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero((np.diff(named) != 0) | (np.diff(blocks) != 0)) + 1
+            for start, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                yield files[start].as_py(), int(blocks[start]), batch.slice(start, end - start)
+
+
+def _passed(lines: pa.Array, states: list[bool]) -> tuple[list[bool], list[int]]:
+    """How lines end that begin in each of the states, and how many records they open."""
+    before = np.concatenate(([0], np.cumsum(_filled(lines)))).tolist()
+    ends, counts, at = list(states), [0] * len(states), 0
+    for place, line in zip(*_quoted(lines), strict=True):
+        for i, is_open in enumerate(ends):
+            counts[i] += 0 if is_open else before[place + 1] - before[at]
+            ends[i] = ends[0] if i and is_open == was else ends_open(line, is_open)
+            was = is_open
+        at = place + 1
+    return ends, [n if is_open else n + before[-1] - before[at] for n, is_open in zip(counts, ends, strict=True)]
 
 
 def _summaries(lines: DataFrame) -> DataFrame:
@@ -63,15 +90,12 @@ def _summaries(lines: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now = [], None
-        for file, block, line in _lines(batches):
+        for file, block, run in _runs(batches, "file"):
             if now is None or (file, block) != tuple(now[:2]):
                 out += [now] if now else []
                 now = [file, block, False, True, 0, 0]
-            for state, count in ((2, 4), (3, 5)):
-                if not now[state] and not _blank(line):
-                    now[count] += 1
-                if now[state] or '"' in line:
-                    now[state] = ends_open(line, now[state])
+            now[2:4], (first, second) = _passed(run.column("value"), now[2:4])
+            now[4:] = now[4] + first, now[5] + second
         out += [now] if now else []
         yield pa.RecordBatch.from_pydict({n: [row[i] for row in out] for i, n in enumerate(names)}, schema=_schema(_BLOCK))
 
@@ -97,39 +121,56 @@ def _beginnings(blocks: DataFrame) -> DataFrame:
 
 
 def _pieces(lines: DataFrame) -> DataFrame:
-    """Records, and pieces of records that span blocks; a block's lines come in order and know how the block begins."""
+    """Records, and pieces of records that span blocks; a block's lines come in order and know how the block begins.
+
+    Records of one line, nearly all, are passed on as Arrow holds them. Files go by their rank, as a path is longer than many a line.
+    """
     names = [part.split()[0] for part in _PIECE.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, row, is_open, held, begun_here = None, 0, False, [], False
+        now, row, is_open, held, begun_here, record = None, 0, False, [], False, 0
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=_schema(_PIECE))
             out.clear()
             return batch
 
-        for file, block, line, opens, before in _lines(batches):
+        for file, block, run in _runs(batches, "rank"):
             if now != (file, block):
                 if held:
-                    out.append((now[0], row, now[1], False, "\n".join(held)))
-                now, row, is_open, held, begun_here = (file, block), before, opens, [], False
-            if not is_open:
-                if _blank(line):
-                    continue
-                row, begun_here = row + 1, True
-            held.append(line)
-            is_open = ends_open(line, is_open) if is_open or '"' in line else False
-            if not is_open:
-                out.append((file, row, block, begun_here, "\n".join(held)))
-                held = []
-                if len(out) >= 10_000:
-                    yield flush()
+                    out.append((now[0], record, now[1], False, "\n".join(held)))
+                now, row, is_open, held, begun_here = (file, block), run.column("before")[0].as_py(), run.column("is_open")[0].as_py(), [], False
+                record = row
+            lines = run.column("value")
+            inside, at = np.empty(run.num_rows + 1, bool), 0
+            for place, line in zip(*_quoted(lines), strict=True):
+                inside[at : place + 1] = is_open
+                is_open, at = ends_open(line, is_open), place + 1
+            inside[at:] = is_open
+            opens = _filled(lines) & ~inside[:-1]
+            rows = row + np.cumsum(opens)
+            single = opens & ~inside[1:]
+            n = int(single.sum())
+            same = [pa.repeat(pa.scalar(v, t), n) for v, t in ((file, pa.int64()), (block, pa.int64()), (True, pa.bool_()))]
+            text = lines.filter(pa.array(single)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(rows[single], pa.int64()), same[1], same[2], text], schema=_schema(_PIECE))
+            parts = np.flatnonzero(inside[:-1] | inside[1:])
+            for i, line in zip(parts.tolist(), lines.take(pa.array(parts)).to_pylist(), strict=True):
+                if opens[i]:
+                    record, begun_here = int(rows[i]), True
+                held.append(line)
+                if not inside[i + 1]:
+                    out.append((file, record, block, begun_here, "\n".join(held)))
+                    held = []
+            row = int(rows[-1])
+            if len(out) >= 10_000:
+                yield flush()
         if held:
-            out.append((now[0], row, now[1], False, "\n".join(held)))
+            out.append((now[0], record, now[1], False, "\n".join(held)))
         yield flush()
 
-    return lines.select("file", "block", "value", "is_open", "before").mapInArrow(work, _PIECE)
+    return lines.select("rank", "block", "value", "is_open", "before").mapInArrow(work, _PIECE)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -147,13 +188,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     lines = lines.withColumn("line", F.monotonically_increasing_id())
     begins = cut_lineage(_beginnings(_summaries(lines)))
-    # The join may deal lines out anew, but a block's lines stay together.
-    known = lines.join(begins, ["file", "block"]).sortWithinPartitions("file", "block", "line")
+    # One row per file.
+    files = cut_lineage(begins.select("file").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file")).cast("bigint")))
+    begins = cut_lineage(begins.join(files, "file"))
+    # The join may deal lines out anew, but a block's lines stay together, and so they do in the order of their numbers.
+    known = lines.join(begins, ["file", "block"]).sortWithinPartitions("line")
     pieces = cut_lineage(_pieces(known))
     put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text")
-    spanning = pieces.where("not whole").groupBy("file", "row").agg(put)
-    records = pieces.where("whole").select("file", "row", "text").unionByName(spanning).where("row > 1")
-    # One row per file.
-    files = begins.select("file").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file")))
-    row_id = (F.shiftleft(F.col("rank").cast("bigint"), 40) + F.col("row")).alias("row_id")
-    return records.join(files, "file").select("file", "row", row_id, F.regexp_replace("text", "\r$", "").alias("text"))
+    spanning = pieces.where("not whole").groupBy("rank", "row").agg(put)
+    records = pieces.where("whole").select("rank", "row", "text").unionByName(spanning).where("row > 1")
+    row_id = (F.shiftleft("rank", 40) + F.col("row")).alias("row_id")
+    return records.join(files, "rank").select("file", "row", row_id, F.regexp_replace("text", "\r$", "").alias("text"))

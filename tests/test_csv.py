@@ -7,10 +7,11 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-from reviewmill.operators import quality
+from reviewmill.operators import dedup, quality
 from reviewmill.operators.dedup import mark_repeats
 from reviewmill.plans import jobs
-from reviewmill.sources.csv_inputs import read_csv
+from reviewmill.schemas import ADDITIONS
+from reviewmill.sources.csv_inputs import has_content, read_csv
 from reviewmill.sources.csv_records import ends_open
 from tests.test_jobs import HEADER, base  # noqa: F401
 
@@ -71,3 +72,19 @@ def test_mistakes_name_file_and_row(spark, tmp_path, base):  # noqa: F811
     (tmp_path / "a.csv").write_text(f'{HEADER}\nnorth,ann,5,2026-01-01,"two\nlines",,,,,,,,\n\nnorth,bob,9,2026-01-01,,,,,,,,,\n')
     with pytest.raises(quality.CheckFailed, match=r"a\.csv row 3: rating must be between 1 and 5"):
         jobs.manual_rebuild(spark, configured, dataset, str(tmp_path / "a.csv"), "none", str(tmp_path / "out"), "x")
+
+
+def test_a_record_is_parsed_once_however_many_fields_are_asked(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text(f"{HEADER}\nnorth,ann,5,2026-01-01,,,,,,,,,\n")
+    rows = read_csv(spark, str(tmp_path / "a.csv"), ADDITIONS)
+    rows = rows.where(has_content(ADDITIONS.fieldNames()))
+    rows.explain("formatted")
+    assert capsys.readouterr().out.count("from_csv") == 1 and rows.count() == 1
+
+
+def test_repeats_are_marked_with_one_copy_of_the_rows(spark, monkeypatch):
+    wide, keep = [], dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: (wide.append(1) if "text" in df.columns else None, keep(df))[1])
+    rows = [("a", 1, "x"), ("b", 2, "x"), ("a", 3, "y"), (None, 4, "z"), (None, 5, "z")]
+    marked = mark_repeats(spark.createDataFrame(rows, "key string, nr long, text string"), "key", "nr")
+    assert {r.nr: r.repeated for r in marked.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False} and len(wide) == 1
