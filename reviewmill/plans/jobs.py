@@ -55,6 +55,12 @@ def _meta(reviews: DataFrame, **fields: Column) -> DataFrame:
     )
 
 
+def _counted(counts: DataFrame, total: str, by_branch: str) -> DataFrame:
+    """One row with the number of rows in all and by branch, from the counts of the branches."""
+    entries = F.collect_list(F.struct("branchId", "n"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(total), F.map_from_entries(entries).alias(by_branch))
+
+
 def stored_rows(reviews: DataFrame) -> DataFrame:
     """Stored reviews with their place in the merge order: as published, as listed in a document, or newest first."""
     if ORDER in reviews.columns:
@@ -106,11 +112,14 @@ def build_manual(
     generated_at: str,
 ) -> Dataset:
     """Base dataset plus additions less removals. Inputs carry ``ord`` and were checked."""
-    merged = cut_lineage(rekey(merge_manual(base, additions, removals.select("reviewKey"))))
-    active = dim.active_branches(configured, base_branches, additions)
-    published = dim.enrich_manual(active, base_branches, merged)
+    merged = rekey(merge_manual(base, additions, removals.select("reviewKey")))
+    # Written out for the figures are only the columns they need; the whole records are when they are published.
+    rated = cut_lineage(merged.select("branchId", "rating"))
+    added, removed = cut_lineage(branch_counts(additions)), cut_lineage(branch_counts(removals))
+    active = dim.active_branches(configured, base_branches, added)
+    published = dim.enrich_manual(active, base_branches, rated)
     meta = _meta(
-        merged,
+        rated,
         mode=_text("manual"),
         generatedAt=_text(generated_at),
         source=_text("Manual update workflow"),
@@ -118,11 +127,8 @@ def build_manual(
         actorRunId=_text(None),
         sampled=F.lit(False),
     )
-    added = additions.agg(F.count(F.lit(1)).alias("manualReviewCount")).join(count_map(additions, "manualBranchCounts"))
-    removed = removals.agg(F.count(F.lit(1)).alias("manualRemovalCount")).join(
-        count_map(removals, "manualRemovedBranchCounts")
-    )
-    meta = meta.join(added).join(removed)
+    meta = meta.join(_counted(added, "manualReviewCount", "manualBranchCounts"))
+    meta = meta.join(_counted(removed, "manualRemovalCount", "manualRemovedBranchCounts"))
     if base_meta is not None:
         lineage = base_meta.select(
             F.coalesce("timezone", F.lit(DEFAULT_ZONE)).alias("timezone"),
@@ -160,6 +166,7 @@ def manual_rebuild(
         generated_at,
     )
     if write:
+        dataset.reviews = cut_lineage(dataset.reviews)
         publish_whole(spark, choose_root(target, False), dataset)
     return dataset
 
@@ -403,5 +410,5 @@ def incremental_publish(
     if before is not None:
         carried = [c for c in before.columns if c not in meta.columns]
         meta = meta.join(before.select(*carried).limit(1), how="left", on=F.lit(True)) if carried else meta
-    tables = {"reviews": delta.rows, "branches": published, "meta": meta, "raw": items}
-    return publish(spark, root, tables, base, delta.touched, state)
+    tables = {"reviews": delta.merged, "branches": published, "meta": meta, "raw": items}
+    return publish(spark, root, tables, base, delta.touched, state, delta.stay)

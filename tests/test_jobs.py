@@ -185,3 +185,15 @@ def test_stream_equals_batches_in_order(spark, tmp_path):
 
 def test_raw_schema_names_every_read_field():
     assert {"stars", "rating", "totalScore", "title", "placeId"} <= set(RAW_ITEM.fieldNames())
+
+
+def test_figures_of_a_manual_run_need_no_copy_of_the_whole_records(spark, base, monkeypatch):
+    configured, dataset = base
+    saved, keep = [], jobs.cut_lineage
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: (saved.append(set(df.columns)), keep(df))[1])
+    rows = jobs.stored_rows(dataset.reviews)
+    none = spark.createDataFrame([], "branchId string, reviewKey string")
+    made = jobs.build_manual(configured, dataset.branches, None, rows, rows.where("id = '1'"), none, "now")
+    meta = made.meta.first()
+    assert (meta["reviewCount"], meta["manualReviewCount"], meta["manualBranchCounts"], meta["manualRemovalCount"]) == (2, 1, {"north": 1}, 0)
+    assert meta["manualRemovedBranchCounts"] == {} and made.reviews.count() == 2 and not any("comment" in columns for columns in saved)
